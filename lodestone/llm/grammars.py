@@ -216,28 +216,33 @@ JChild = JSX_TEXT | '{' ( '...'? Expr )? '}' | Jsx ;
 _MORE = ("Import", "Export", "Decl", "Member", "Unary", "Suffix", "Primary", "Spec")
 
 
-def javascript(ts: bool, jsx: bool) -> str:
+#: In a scan that does not know where markup begins, its parts are spelled with ordinary tokens.
+_LOOSE = {
+    "JSX_OPEN": "'<'",
+    "JSX_ID": "( IdName ( '-' IdName )* )",
+    "JSX_STR": "STR",
+    "JSX_TEXT": "( IdName | CONTEXT | NUM | STR | OP | ASSIGN | INC | REGEX | PRIVATE | '...' | '=>' | '>=' | '?.' | '+' | '-' | '*' | '/' | '&' | '|' | '~' | '!' | '?' | ':' | ';' | ',' | '.' | '=' | '(' | ')' | '[' | ']' | '@' )",
+}
+
+
+def javascript(ts: bool, jsx: bool, loose: bool = False) -> str:
+    """The grammar text of one variant."""
     on = {"ts": ts, "jsx": jsx, "nots": not ts}
-    rules: list[str] = []
-    for rule in _JS.split(";\n" if False else "\n"):
-        rules.append(rule)
-    # a rule may span lines; its mark is at its end
-    text, out = [], []
-    for line in rules:
-        text.append(line)
+    part, out = [], []
+    for line in _JS.split("\n"):
         body, _, mark = line.partition("#")
-        if body.rstrip().endswith(";"):
-            whole = "\n".join(x.partition("#")[0] for x in text)
-            text = []
-            mark = mark.strip()
-            if not mark or on[mark]:
-                out.append(whole)
-    whole = "\n".join(out)
-    if ts and not jsx:
-        pass
+        part.append(body.rstrip())
+        if part[-1].endswith(";"):
+            if not mark.strip() or on[mark.strip()]:
+                out.append(" ".join(part))
+            part = []
     if ts and jsx:  # `<T>x` casts do not exist in TSX
-        whole = "\n".join(x for x in whole.split("\n") if not x.startswith("Unary2 "))
+        out = [x for x in out if not x.startswith("Unary2 ")]
+    text = "\n" + "\n".join(out)
     for name in _MORE:
-        if f"\n{name}2 = " in "\n" + whole:
-            whole = whole.replace(f"\n{name} = ", f"\n{name} = {name}2 | ", 1)
-    return whole
+        if f"\n{name}2 = " in text:
+            text = text.replace(f"\n{name} = ", f"\n{name} = {name}2 | ", 1)
+    if loose:
+        for name, tokens in _LOOSE.items():
+            text = text.replace(f" {name} ", f" {tokens} ").replace(f" {name} ", f" {tokens} ")
+    return text

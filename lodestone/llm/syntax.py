@@ -12,7 +12,8 @@ so the scan is a shortcut that never decides against a file.
 from __future__ import annotations
 
 import re
-from functools import cache
+from functools import cache, reduce
+from operator import getitem
 
 from . import grammars
 from .derivatives import Grammar
@@ -38,7 +39,8 @@ _NUM = (
 # ------------------------------------------------------------------------------------------- Python
 _PY = re.compile(
     r"[ \t\f]*(?:\\\n[ \t\f]*)*("
-    r"\n(?:[ \t\f]*(?:\#[^\n]*)?\n)*[ \t\f]*(?:\#[^\n]*)?"
+    r"[^\W\d]\w*(?!['\"\w])|[()\[\]{},;~]"
+    r"|\n(?:[ \t\f]*(?:\#[^\n]*)?\n)*[ \t\f]*"
     r"|\#[^\n]*"
     r"|(?:[rRbBuUfFtT]|[bBfFtT][rR]|[rR][bBfFtT])?(?:'''(?:[^\\']|\\[\s\S]|'(?!''))*'''"
     r'|"""(?:[^\\"]|\\[\s\S]|"(?!""))*"""'
@@ -69,11 +71,12 @@ class _Classes(dict):
 
 
 def _py_class(t: str):
+    """The class; for a line break, the width of the next line's indentation."""
     c = t[0]
     if c == "\n":
-        return "\n"
-    if c == "#" or not t.strip():
-        return None if c == "#" else "ERROR" if c not in " \t\f" else None
+        return _width(t[t.rfind("\n") + 1 :])
+    if c == "#" or c in " \t\f":
+        return " "
     if t in PY_WORDS:
         return t
     if t in _PY_OP:
@@ -96,98 +99,109 @@ def _width(ws: str) -> tuple[int, int]:
     return wide, len(ws)
 
 
-_WIDTHS = _Classes(_width)
 _PY_CLASSES = _Classes(_py_class)
 _OPEN, _CLOSE = {"(", "[", "{"}, {")", "]", "}"}
 
 
-@cache
-def grammar(kind: str) -> Grammar:
-    if kind == "py":
-        return Grammar(grammars.PYTHON, "File")
-    return Grammar(grammars.javascript(kind in ("ts", "tsx"), kind in ("jsx", "tsx")), "Module")
-
-
-def _line(text: str, toks: list[str], i: int, rx) -> int:
-    """Line of token ``i`` of the scan ``toks`` of ``text``."""
+def _line(text: str, i: int, rx) -> int:
+    """Line of token ``i`` of the scan of ``text``."""
     for k, m in enumerate(rx.finditer(text)):
         if k == i:
             return text.count("\n", 0, m.start(1)) + 1
     return text.count("\n") + 1
 
 
+class State(dict):
+    """What has been read so far: the language of the rest and what lies outside the grammar (line
+    breaks, indentation). Maps token classes to the next state; states are shared, so that reading a
+    known token is one lookup."""
+
+    __slots__ = ("machine", "lang", "rest")
+
+    def __missing__(self, c):
+        found = self[c] = self.machine.step(self.lang, self.rest, c)
+        return found
+
+
+class _Machine:
+    """Shared states over a grammar; dropped with the grammar's memo when that has grown too large."""
+
+    def __init__(self, text: str, start: str, first):
+        self.text, self.first_rule, self.first_rest = text, start, first
+        self.reset()
+
+    def reset(self):
+        self.grammar = Grammar(self.text, self.first_rule)
+        self.states: dict = {}
+        self.start = self.state(self.grammar.start, self.first_rest)
+        self.dead = self.state(self.grammar.empty, None)
+
+    def state(self, lang, rest):
+        if lang is self.grammar.empty:
+            rest = None
+        found = self.states.get((lang, rest))
+        if found is None:
+            found = self.states[lang, rest] = State()
+            found.machine, found.lang, found.rest = self, lang, rest
+        return found
+
+    def begin(self):
+        if len(self.states) + len(self.grammar.table) > 500_000:
+            self.reset()
+        return self.start
+
+
+class _PyMachine(_Machine):
+    """rest: (open brackets, indentation levels, at the start of a line)."""
+
+    def step(self, lang, rest, c):
+        g = self.grammar
+        if rest is None or c == " ":
+            return self.state(lang, rest)
+        depth, levels, fresh = rest
+        if type(c) is not tuple:
+            n = g.derive(lang, c)
+            depth += (c in _OPEN) - (c in _CLOSE)
+            return self.state(n, (depth, levels, False))
+        if depth:
+            return self.state(lang, rest)
+        if not fresh:
+            lang = g.derive(lang, "NEWLINE")
+        top = levels[-1]
+        if c != top:
+            if c[0] > top[0] and c[1] > top[1]:
+                levels += (c,)
+                lang = g.derive(lang, "INDENT")
+            elif c[0] < top[0] and c[1] < top[1]:
+                while levels[-1][0] > c[0]:
+                    levels = levels[:-1]
+                    lang = g.derive(lang, "DEDENT")
+                if levels[-1] != c:
+                    lang = g.empty
+            else:
+                lang = g.empty
+        return self.state(lang, (0, levels, True))
+
+
 def check_python(text: str):
-    g = grammar("py")
-    g.trim()
-    s, empty, derive = g.start, g.empty, g.derive
+    machine = machine_of("py")
+    s = machine.begin()
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
-    if text[:1] == "﻿":
+    if text[:1] == "\ufeff":
         text = text[1:]
     if "\x00" in text:
         return "rejected", text.count("\n", 0, text.index("\x00")) + 1, "\\x00"
-    toks = _PY.findall("\n" + text)
-    depth, levels, fresh = 0, [(0, 0)], True
-    classes = _PY_CLASSES
+    text = "\n" + text + "\n"
+    toks = _PY.findall(text)
+    s = reduce(getitem, map(_PY_CLASSES.__getitem__, toks), s)
+    if s is not machine.dead:
+        return None if s.lang.nullable and not s.rest[0] else ("truncated", text.count("\n") - 1, "")
+    s, dead = machine.start, machine.dead
     for i, t in enumerate(toks):
-        c = classes[t]
-        if c is None:
-            continue
-        if c == "\n":
-            if depth:
-                continue
-            at = t.rfind("\n") + 1
-            tail = t[at:]
-            if "#" in tail or i + 1 == len(toks):
-                if not fresh:
-                    n = s.get("NEWLINE") or derive(s, "NEWLINE")
-                    if n is empty:
-                        return "rejected", _line("\n" + text, toks, i, _PY) - 1, "newline"
-                    s, fresh = n, True
-                continue
-            # the indentation of the next token: the scan takes the blanks into the line break
-            if not fresh:
-                n = s.get("NEWLINE") or derive(s, "NEWLINE")
-                if n is empty:
-                    return "rejected", _line("\n" + text, toks, i, _PY) - 1, "newline"
-                s, fresh = n, True
-            nxt = classes[toks[i + 1]]
-            if nxt == "\n" or nxt is None:
-                continue
-            w = _WIDTHS[tail]
-            top = levels[-1]
-            if w == top:
-                continue
-            step = None
-            if w[0] > top[0] and w[1] > top[1]:
-                levels.append(w)
-                step = "INDENT"
-                s = s.get(step) or derive(s, step)
-            elif w[0] < top[0] and w[1] < top[1]:
-                while levels[-1][0] > w[0]:
-                    levels.pop()
-                    s = s.get("DEDENT") or derive(s, "DEDENT")
-                if levels[-1] != w:
-                    s = empty
-            else:
-                s = empty
-            if s is empty:
-                return "rejected", _line("\n" + text, toks, i + 1, _PY) - 1, "indentation"
-            continue
-        n = s.get(c)
-        if n is None:
-            n = derive(s, c)
-        if n is empty:
-            return "rejected", _line("\n" + text, toks, i, _PY) - 1, t[:40]
-        s, fresh = n, False
-        if c in _OPEN:
-            depth += 1
-        elif c in _CLOSE:
-            depth -= 1
-    ends = () if depth else (["NEWLINE"] * (not fresh) + ["DEDENT"] * (len(levels) - 1))
-    for step in ends:
-        s = s.get(step) or derive(s, step)
-    return None if s.nullable and not depth else ("truncated", text.count("\n") + 1, "")
+        s = s[_PY_CLASSES[t]]
+        if s is dead:
+            return "rejected", _line(text, i, _PY) - 1, "line break or indentation" if t[0] == "\n" else t[:40]
 
 
 # --------------------------------------------------------------------------------- JavaScript family
@@ -197,7 +211,7 @@ _PUNCT = (
     r"|\*\*|<<|[-+*/%&|^~!?:;,.<>=(){}\[\]@]"
 )
 _REGEX = r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
-_WORD = r"\#?[A-Za-z_$\u0080-\U0010ffff](?:[\w$‌‍]|(?<=\w)\\u[0-9a-fA-F]{4})*"
+_WORD = r"\#?[A-Za-z_$\u0080-\U0010ffff][\w$\u200c\u200d]*"
 _JS_SCAN = re.compile(
     r"[^\S\n  ]*("
     r"\n\s*|//[^\n]*|/\*[\s\S]*?\*/"
@@ -219,7 +233,7 @@ _JS_OP |= {x: x for x in "... => >= ?. + - * / & | ~ ! ? : ; , . < > = ( ) { } [
 def _js_class(t: str):
     c = t[0]
     if c == "\n" or t[:2] in ("//", "/*") or t.isspace():
-        return None
+        return "\n" if "\n" in t else " "
     if t in JS_WORDS:
         return t
     if t in JS_CONTEXT:
@@ -227,7 +241,7 @@ def _js_class(t: str):
     if t in _JS_OP:
         return _JS_OP[t]
     if c == "`":
-        return "ERROR" if len(t) == 1 else "TPL" if "${" not in t else "TPL$"
+        return "ERROR" if len(t) == 1 else "TPL" if "${" not in t else ("TPL", " ".join(re.findall(r"\$\{[^{}`]*\}", t)))
     if c in "'\"":
         return "STR" if len(t) > 1 else "ERROR"
     if c.isdigit() or c == "." and len(t) > 1:
@@ -242,56 +256,70 @@ def _js_class(t: str):
 
 
 _JS_CLASSES = _Classes(_js_class)
-_INNER: dict = {}
-
-
-def _holes_valid(g: Grammar, kind: str, token: str) -> bool:
-    """Whether the expressions inside a template without nested braces are valid."""
-    for hole in re.findall(r"\$\{([^{}`]*)\}", token):
-        known = _INNER.get((kind, hole))
-        if known is None:
+class _JsMachine(_Machine):
+    """rest: whether a line break has just been read. The rule by which a missing semicolon is taken
+    as read (a token that may not follow, after a line break or being ``}``) is part of the step."""
+
+    def __init__(self, kind: str):
+        self.kind = kind
+        super().__init__(grammars.javascript(kind in ("ts", "tsx"), kind in ("jsx", "tsx"), loose=True), "Module", False)
+
+    def step(self, lang, rest, c):
+        g = self.grammar
+        if rest is None or c == " ":
+            return self.state(lang, rest)
+        if c == "\n":
+            return self.state(lang, True)
+        if type(c) is tuple:  # a template whose expressions hold no braces
+            if not self.holes_valid(c[1]):
+                return self.dead
+            c = "TPL"
+        n = g.derive(lang, c)
+        if n is g.empty and (rest or c == "}"):
+            n = g.derive(g.derive(lang, ";"), c)
+        return self.state(n, False)
+
+    def holes_valid(self, token: str) -> bool:
+        g = self.grammar
+        for hole in re.findall(r"\$\{([^{}`]*)\}", token):
             s = g.rules["Expr"]
             for t in _JS_SCAN.findall(hole):
                 c = _JS_CLASSES[t]
-                if c is not None:
+                if c not in (" ", "\n"):
                     s = g.derive(s, c)
-            known = s.nullable
-            if len(_INNER) > 100_000:
-                _INNER.clear()
-            _INNER[kind, hole] = known
-        if not known:
+            if not s.nullable:
+                return False
+        return True
+
+    def accepts(self, text: str) -> bool:
+        """Whether the context-free scan is accepted."""
+        if "/>" in text and self.kind in ("jsx", "tsx") or text.startswith("#!"):
             return False
-    return True
+        s = reduce(getitem, map(_JS_CLASSES.__getitem__, _JS_SCAN.findall(text)), self.begin())
+        if not (s.lang.nullable or self.grammar.derive(s.lang, ";").nullable):
+            return False
+        if "</" in text and self.kind in ("jsx", "tsx"):  # names of closing tags, where nothing is doubtful
+            names, tags = set(re.findall(r"</([\w$.:-]*)", text)), []
+            for close, name in re.findall(r"<(/?)([\w$.:-]*)", text):
+                if not close:
+                    tags.append(name)
+                else:
+                    while tags and tags[-1] not in names:
+                        tags.pop()
+                    if not tags or tags.pop() != name:
+                        return False
+            return not names & set(tags)
+        return True
 
 
-def _scan(g: Grammar, kind: str, text: str) -> bool:
-    """Whether the context-free scan is accepted."""
-    s, empty, derive, classes = g.start, g.empty, g.derive, _JS_CLASSES
-    toks = _JS_SCAN.findall(text)
-    for i, t in enumerate(toks):
-        c = classes[t]
-        if c is None:
-            continue
-        n = s.get(c)
-        if n is None:
-            if c == "TPL$":
-                if not _holes_valid(g, kind, t):
-                    return False
-                c = "TPL"
-            n = derive(s, c)
-        if n is empty:
-            k = i - 1
-            broken = c == "}"
-            while k >= 0 and not broken and classes[toks[k]] is None:
-                broken = "\n" in toks[k]
-                k -= 1
-            if not broken:
-                return False
-            n = derive(derive(s, ";"), c)
-            if n is empty:
-                return False
-        s = n
-    return s.nullable or derive(s, ";").nullable
+@cache
+def machine_of(kind: str):
+    return _PyMachine(grammars.PYTHON, "File", (0, ((0, 0),), True)) if kind == "py" else _JsMachine(kind)
+
+
+@cache
+def grammar(kind: str) -> Grammar:
+    return Grammar(grammars.javascript(kind in ("ts", "tsx"), kind in ("jsx", "tsx")), "Module")
 
 
 def _walk(g: Grammar, jsx: bool, text: str):
@@ -374,11 +402,7 @@ def check_javascript(text: str, kind: str):
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     if text[:1] == "﻿":
         text = text[1:]
-    jsx = kind in ("jsx", "tsx")
-    if not jsx or "<" not in text:
-        if not text.startswith("#!") and _scan(g, kind, text):
-            return None
-    return _walk(g, jsx, text)
+    return None if machine_of(kind).accepts(text) else _walk(g, kind in ("jsx", "tsx"), text)
 
 
 KINDS = {"py": "py", "js": "js", "jsx": "jsx", "ts": "ts", "tsx": "tsx"}
