@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import sourcecode
+from . import provenance, sourcecode
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -21,6 +21,18 @@ def query(sql: str | None = None):
     return add
 
 
+# 1 generated, minified or vendored source files -------------------------------------------------
+@query()
+def p1_found(spark, d):
+    return provenance.not_hand_written(table(spark, d, "source_files")).select("path")
+
+
+@query()
+def p1_reasons(spark, d):
+    found = provenance.not_hand_written(table(spark, d, "source_files"))
+    return found.select("path", F.concat_ws(",", "reasons").alias("reasons"), "repos", "copies")
+
+
 # 3 functions paired with their documentation ---------------------------------------------------
 @query()
 def p3_found(spark, d):
