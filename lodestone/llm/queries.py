@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import provenance, sourcecode
+from . import packing, provenance, segment, sourcecode
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -53,3 +53,35 @@ def p4_found(spark, d):
 @query()
 def p4_rates(spark, d):
     return sourcecode.syntax_rates(table(spark, d, "source_files"))
+
+
+# 2 splitting oversized items -------------------------------------------------------------------
+_LONG = "SELECT chunk_id, any_value(text) AS text FROM chunks WHERE strlen(text) > 6000 GROUP BY chunk_id"
+
+
+@query(
+    f"""
+    WITH t AS ({_LONG}), l AS (SELECT chunk_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM t)
+    SELECT chunk_id, CAST(0 AS BIGINT) AS line_no FROM t UNION ALL SELECT chunk_id, line_no FROM l WHERE length(line) > 2000
+    """
+)
+def p2_found(spark, d):
+    got = segment.oversized_pieces(table(spark, d, "chunks")).where("piece = 1")
+    lines = F.concat(F.array(F.lit(0).cast("bigint")), "cut_lines")
+    return got.select("chunk_id", F.explode(lines).alias("line_no"))
+
+
+@query()
+def p2_pieces(spark, d):
+    return segment.split_oversized(table(spark, d, "chunks"))
+
+
+# 6 filling fixed-capacity containers -----------------------------------------------------------
+@query()
+def p6_containers(spark, d):
+    return packing.fill_containers(table(spark, d, "documents"))
+
+
+@query()
+def p6_fill(spark, d):
+    return packing.container_stats(packing.fill_containers(table(spark, d, "documents")))
