@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import packing, provenance, segment, sourcecode
+from . import leakage, packing, provenance, segment, sourcecode
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -85,3 +85,15 @@ def p6_containers(spark, d):
 @query()
 def p6_fill(spark, d):
     return packing.container_stats(packing.fill_containers(table(spark, d, "documents")))
+
+
+# 7 evaluation texts leaking into training text -------------------------------------------------
+@query()
+def p7_found(spark, d):
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+@query()
+def p7_leaks(spark, d):
+    got = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return got.withColumn("cosine", F.round("cosine", 4))
