@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, packing, provenance, segment, sourcecode
+from . import leakage, packing, provenance, segment, sentences, sourcecode
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -97,3 +97,14 @@ def p7_found(spark, d):
 def p7_leaks(spark, d):
     got = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return got.withColumn("cosine", F.round("cosine", 4))
+
+
+# 8 sentence boundaries --------------------------------------------------------------------------
+@query()
+def p8_found(spark, d):
+    return sentences.split_sentences(table(spark, d, "documents")).select("doc_id", "start_pos", "end_pos")
+
+
+@query()
+def p8_sentences(spark, d):
+    return sentences.split_sentences(table(spark, d, "documents"))
