@@ -131,7 +131,7 @@ def _block(text: str, begin: int, end: int, out: list) -> None:
                 continue
         elif stack and c in stack[-1][1]:
             c = "close"
-        elif c in OPEN and not (c == "“" and False):
+        elif c in OPEN:
             if any(0 <= text.find(x, pos, end) for x in OPEN[c]):
                 stack.append((c, OPEN[c], fresh(at)))
             continue
@@ -188,7 +188,16 @@ def _block(text: str, begin: int, end: int, out: list) -> None:
             pos = stop
             continue
         if not text[stop].isspace():
-            if marks[-1] in "!?" and _CJK.match(text, stop):
+            # the space after a sentence may be missing
+            nxt = text[stop]
+            if marks[-1] in "!?":
+                glued = bool(_CJK.match(nxt)) or nxt.isupper() or nxt in "¿¡«„“"
+            else:
+                word = _TOKEN.search(text, stop, end)[0]
+                glued = marks == "." and at > start and (text[at - 1].islower() or text[at - 1] in ")\"”»") and (
+                    nxt in "¿¡«„“" or len(word) > 1 and nxt.isupper() and word[1:].isalpha() and word[1:].islower()
+                )
+            if glued:
                 emit(stop)
                 pos = stop
             continue
