@@ -1,3 +1,4 @@
 """Imports every module of queries, so that the catalog is complete."""
 
 from . import shredding  # noqa: F401
+from . import retrieval  # noqa: F401
