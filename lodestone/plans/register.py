@@ -2,3 +2,4 @@
 
 from . import shredding  # noqa: F401
 from . import retrieval  # noqa: F401
+from . import graphs  # noqa: F401
