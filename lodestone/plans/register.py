@@ -4,3 +4,4 @@ from . import shredding  # noqa: F401
 from . import retrieval  # noqa: F401
 from . import graphs  # noqa: F401
 from . import code  # noqa: F401
+from . import ordered, parsing  # noqa: F401
