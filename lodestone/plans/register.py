@@ -5,3 +5,4 @@ from . import retrieval  # noqa: F401
 from . import graphs  # noqa: F401
 from . import code  # noqa: F401
 from . import ordered, parsing  # noqa: F401
+from . import corpus  # noqa: F401
