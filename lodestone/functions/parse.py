@@ -82,11 +82,11 @@ _EXPORT = re.compile(r"\bexport\s+(?:default\s+)?(?:async\s+)?(?:abstract\s+)?(?
 _FUNC = re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([\w$]+)\s*(?:<[^>(]*>)?\s*\(", re.M)
 _ARROW = re.compile(r"^(?:export\s+)?(?:const|let|var)\s+([\w$]+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:<[^>(]*>)?\(", re.M)
 _CLASS = re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([\w$]+)(?:<[^>{]*>)?(?:\s+extends\s+([\w$.]+))?(?:<[^>{]*>)?(?:\s+implements\s+([^{]+))?\s*\{", re.M)
-_METHOD = re.compile(r"^[ \t]+(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*\*?([\w$#]+)\s*(?:<[^>(]*>)?\(", re.M)
+_METHOD = re.compile(r"(?:^|(?<=[{};]))[ \t]*(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*\*?([\w$#]+)\s*(?:<[^>(]*>)?\(", re.M)
 _INTERFACE = re.compile(r"^[ \t]*(?:export\s+)?interface\s+([\w$]+)[^{]*\{", re.M)
 _MEMBER = re.compile(r"([\w$]+)\??\s*:\s*([^;,\n]+)")
 _MASK = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\[\s\S])*`")
-_WORDS = {"if", "for", "while", "switch", "catch", "return", "function", "constructor" if False else "super"}
+_WORDS = {"if", "for", "while", "switch", "catch", "return", "function", "super"}
 
 
 def _close(masked: str, at: int, pair: str = "{}") -> int:

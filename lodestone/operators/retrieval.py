@@ -36,14 +36,15 @@ def has_cjk(text: Column) -> Column:
 
 def keyword_tokens(text: Column) -> Column:
     """Search tokens: CJK parts as bigrams, others as themselves followed by their lower-cased new
-    identifier parts."""
+    identifier parts (those not yet in the list)."""
     parts = F.filter(F.split(text, r"\s+"), lambda p: p != "")
 
-    def one(p):
-        sub = F.filter(F.transform(identifier_parts(p), lambda s: F.lower(s)), lambda s: s != p)
-        return F.when(p.rlike(CJK), bigrams(p)).otherwise(F.array_distinct(F.concat(F.array(p), sub)))
+    def add(acc, p):
+        whole = F.concat(acc, F.array(p))
+        sub = F.array_except(F.transform(identifier_parts(p), lambda s: F.lower(s)), whole)
+        return F.when(p.rlike(CJK), F.concat(acc, bigrams(p))).otherwise(F.concat(whole, sub))
 
-    return F.flatten(F.transform(parts, one))
+    return F.aggregate(parts, F.expr("array()").cast("array<string>"), add)
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
