@@ -302,6 +302,7 @@ def leaks(
         inverse, begin, who, much, lft, sig = space.value
         place = lft * sig  # latent places of the items
         size = np.sqrt((place**2).sum(1))
+        run = max(1, min(len(n) for it in its for n in it.needles) - 5)
         for b in batches:
             out = []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -312,7 +313,8 @@ def leaks(
                 f = np.searchsorted(words, h)
                 f[f == len(words)] = 0
                 pos = np.flatnonzero((words[f] == h) & (h != 0))
-                if len(pos) < 4:
+                # a stretch of an item is an unbroken run of its shingles: without one there is no leak
+                if len(pos) < run or not (pos[run - 1 :] - pos[: len(pos) - run + 1] == run - 1).any():
                     continue
                 f = f[pos]
                 half = max(1, window // 2)
@@ -321,8 +323,8 @@ def leaks(
                 rep = np.repeat(np.arange(len(pos)), n)
                 offs = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n) + begin[f][rep]
                 last = int(win[-1]) + 1
-                dots = np.zeros((last + 1, len(its)))
-                np.add.at(dots, (win[rep], who[offs]), much[offs] * inverse[f][rep])
+                flat = win[rep].astype(np.int64) * len(its) + who[offs]
+                dots = np.bincount(flat, much[offs] * inverse[f][rep], (last + 1) * len(its)).reshape(last + 1, len(its))
                 live = np.unique(win)
                 dots = dots[:-1] + dots[1:]  # windows of two halves, one half apart
                 near = np.unique(np.concatenate([live, np.maximum(live - 1, 0)]))

@@ -275,8 +275,9 @@ class _JsMachine(_Machine):
                 return self.dead
             c = "TPL"
         n = g.derive(lang, c)
-        if n is g.empty and (rest or c == "}"):
-            n = g.derive(g.derive(lang, ";"), c)
+        if rest and c == "INC" or n is g.empty and (rest or c == "}"):  # a line break ends what ++ would follow
+            closed = g.derive(g.derive(lang, ";"), c)
+            n = n if closed is g.empty else closed
         return self.state(n, False)
 
     def holes_valid(self, token: str) -> bool:
@@ -325,7 +326,7 @@ def grammar(kind: str) -> Grammar:
 def _walk(g: Grammar, jsx: bool, text: str):
     """Reads the text with a lexer that asks the parser what may follow."""
     s, empty, derive = g.start, g.empty, g.derive
-    pos, end, braces, tags = 0, len(text), [], []
+    pos, end, braces, tags, closing = 0, len(text), [], [], False
     if text.startswith("#!"):
         pos = text.find("\n") if "\n" in text else end
 
@@ -357,6 +358,8 @@ def _walk(g: Grammar, jsx: bool, text: str):
                 tags.append(m[2] or "")
             elif not tags or tags.pop() != (m[2] or ""):
                 c = "ERROR"
+            else:
+                closing = True
         elif ch == "`":
             m = _TPL_TEXT.match(text, pos + 1)
             if not m:
@@ -381,11 +384,17 @@ def _walk(g: Grammar, jsx: bool, text: str):
                 braces.append("{")
             elif c == "}" and braces:
                 braces.pop()
-        if jsx and c == "/" and re.match(r"/\s*>", text[pos : pos + 40]) and tags and can("/"):
-            tags.pop()
+        if jsx and c == "/" and re.match(r"/\s*>", text[pos : pos + 40]) and can("/"):
+            if closing:
+                closing = False
+            elif tags:
+                tags.pop()
+        elif c == "/":
+            closing = False
         n = derive(s, c)
-        if n is empty and (broken or c in ("}", "TPL_TAIL", "TPL_MID")):
-            n = derive(derive(s, ";"), c)
+        if broken and c == "INC" or n is empty and (broken or c in ("}", "TPL_TAIL", "TPL_MID")):
+            closed = derive(derive(s, ";"), c)
+            n = n if closed is empty else closed
         if n is empty and c == "REGEX":
             c, stop = "/", pos + 1
             n = derive(s, c)
