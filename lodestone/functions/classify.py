@@ -44,7 +44,7 @@ ROLES = [
 #: What in a path marks a test.
 TEST_MARKS = ["test_", "_test", "spec_", "_spec", "tests/", "test/", "spec/", "__tests__/", ".test.", ".spec."]
 #: Exclusions of the scan, and infrastructure files that are kept.
-EXCLUDES = [".code-wiki/", "__pycache__/", ".git/", "node_modules/", ".venv/", "venv/", "dist/", "build/", "*.pyc", ".mypy_cache/", ".pytest_cache/", ".tox/", "*.egg-info/"]
+EXCLUDES = ["__pycache__/", ".git/", "node_modules/", ".venv/", "venv/", "dist/", "build/", "*.pyc", ".mypy_cache/", ".pytest_cache/", ".tox/", "*.egg-info/"]
 INFRA_NAMES = [
     "Dockerfile", "Dockerfile.*", "docker-compose.yml", "docker-compose.yaml", ".dockerignore", "Makefile", "Makefile.*", ".env.example", ".env.template", ".env.sample",
     "*.sql", "*.graphql", "*.gql", "*.tf", "*.tfvars", ".terraform.lock.hcl", "*.proto", "nginx.conf", "*.nginx.conf", ".gitlab-ci.yml", ".travis.yml", "Jenkinsfile",

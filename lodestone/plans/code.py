@@ -44,7 +44,7 @@ def layer_classify(spark, d):
     )
 
 
-@query(f"WITH p AS (SELECT DISTINCT path FROM source_files) SELECT count(*) AS total, CAST(sum(CASE WHEN regexp_matches({_P}, '(^|/)(\\.code-wiki|__pycache__|\\.git|node_modules|\\.venv|venv|dist|build|\\.mypy_cache|\\.pytest_cache|\\.tox)/|\\.pyc$|\\.egg-info/') THEN 1 ELSE 0 END) AS BIGINT) AS excluded FROM p")
+@query(f"WITH p AS (SELECT DISTINCT path FROM source_files) SELECT count(*) AS total, CAST(sum(CASE WHEN regexp_matches({_P}, '(^|/)(__pycache__|\\.git|node_modules|\\.venv|venv|dist|build|\\.mypy_cache|\\.pytest_cache|\\.tox)/|\\.pyc$|\\.egg-info/') THEN 1 ELSE 0 END) AS BIGINT) AS excluded FROM p")
 def scan_counts(spark, d):
     p = table(spark, d, "source_files").select("path").distinct()
     return p.agg(F.count("*").alias("total"), F.count_if(C.excluded(F.col("path"))).alias("excluded"))
