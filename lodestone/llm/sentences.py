@@ -318,11 +318,12 @@ def _paragraph(text: str, lines: list, out: list) -> None:
     # a list that follows a line of prose without a blank line
     for k in range(1, len(lines)):
         before = text[lines[k - 1][0] : lines[k - 1][1]].rstrip()
-        if marks[k] and not quote and (before[-1:] in ":：。.!?！？" or all(marks[k:])) and not _wrapped(text, lines[k:], marks[k:]):
-            if before[-1:] in ":：" or len(lines) - k > 1:
-                _block(text, first, lines[k - 1][1], out)
-                _paragraph(text, lines[k:], out)
-                return
+        number = marks[k] and re.search(r"\d+", marks[k][0])
+        opens = marks[k] and (not number or int(number[0]) <= 1)  # a wrapped "5." is no list
+        if opens and not quote and (before[-1:] in ":：" or len(lines) - k > 1 and all(marks[k:])) and not _wrapped(text, lines[k:], marks[k:]):
+            _block(text, first, lines[k - 1][1], out)
+            _paragraph(text, lines[k:], out)
+            return
     got: list = []
     _block(text, first, end, got)
     if quote and len(lines) > 1:  # a sentence that begins with a later line begins after its mark

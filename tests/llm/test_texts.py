@@ -18,6 +18,8 @@ def test_sentences():
     assert spans("Seit dem 3. Oktober vor dem 12. Lauf. Er fragte: „Fertig?“ und ging, z. B. heute.") == ["Seit dem 3. Oktober vor dem 12. Lauf.", "Er fragte: „Fertig?“ und ging, z. B. heute."]
     assert spans("M. A a dit : « Vide ? » avant. « Perdu. » Oui !") == ["M. A a dit : « Vide ? » avant.", "« Perdu. »", "Oui !"]
     assert spans("# Title here\n\n* one item. two\n* second\n\n1. x\n2. y\n\n> quoted text\n> goes on. Next") == ["Title here", "one item. two", "second", "x", "y", "quoted text\n> goes on.", "Next"]
+    assert spans("Some were hidden on Jan.\n5. Do not edit.") == ["Some were hidden on Jan.\n5.", "Do not edit."]
+    assert spans("They are:\n1. first one\n2. second") == ["They are:", "first one", "second"]
     assert spans("ระบบอ่านไฟล์ ทำไมต้อง") == ["ระบบอ่านไฟล์", "ทำไมต้อง"]
     assert spans("यह है। क्या? هل؟ نعم.") == ["यह है।", "क्या?", "هل؟", "نعم."]
     assert spans("no punctuation at\nall here\n\n  \nnext") == ["no punctuation at\nall here", "next"]
