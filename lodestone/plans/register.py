@@ -6,3 +6,4 @@ from . import graphs  # noqa: F401
 from . import code  # noqa: F401
 from . import ordered, parsing  # noqa: F401
 from . import corpus  # noqa: F401
+from . import labelled  # noqa: F401

@@ -134,3 +134,11 @@ def test_core_stands_alone():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"(from|import)\s+[\w.]*\bllm\b", p.read_text()), p
+
+
+def test_labels(spark):
+    from lodestone.operators import labels as L
+
+    assert one(spark, L.safe_label(F.lit('a["x"]<b>'))) == "a('x')⟨b⟩"
+    page = spark.createDataFrame([(1, "# T [@src:a/b.py:9]\n| x [@src:a/b.py:10] | [@src:c.ts:98] |")], "id int, text string")
+    assert [(r["path"], r["line"]) for r in L.anchors(page, "id", "text").collect()] == [("a/b.py", 9), ("a/b.py", 10), ("c.ts", 98)]
