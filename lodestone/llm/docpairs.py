@@ -21,15 +21,17 @@ from .syntax import check, extension
 
 # parts without recursion are written out in place: only brackets inside brackets call themselves
 _S = r"""'(?:[^\\'\n]++|\\[\s\S])*+'|"(?:[^\\"\n]++|\\[\s\S])*+\""""
-_T = r"`(?:[^`\\$]++|\\[\s\S]|\$(?!\{)|\$\{[^{}`]*+\})*+`"
+# a template whose holes hold no braces, quotes or slashes is read in place, any other by recursion
+_T = r"`(?:[^`\\$]++|\\[\s\S]|\$(?!\{)|\$\{[^{}`'\"/]*+\})*+`"
 _C = r"//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/"
 _X = (
     r"(?:(?<=[(,=:\[!&|?{};+>])|(?<=[(,=:\[!&|?{};+>]\s)|(?<=return\s))/(?![*/])"
     r"(?:[^\\/\[\n]++|\\.|\[(?:[^\]\\\n]++|\\.)*+\])++/[a-z]*+"
 )
-_SKIP = rf"{_S}|{_T}|{_C}|{_X}|['\"`/]"
+_SKIP = rf"{_S}|{_T}|(?&tpl)|{_C}|{_X}|['\"`/]"
 _JS_DEFINE = rf"""
 (?(DEFINE)
+ (?P<tpl>`(?:[^`\\$]++|\\[\s\S]|\$(?!\{{)|\$(?&brace))*+`)
  (?P<paren>\((?:[^()'"`/]++|{_SKIP}|(?&paren))*+\))
  (?P<brack>\[(?:[^\[\]'"`/]++|{_SKIP}|(?&brack))*+\])
  (?P<brace>\{{(?:[^{{}}'"`/]++|{_SKIP}|(?&brace))*+\}})
@@ -59,11 +61,13 @@ _JS = regex.compile(
 """,
     regex.VERSION1 | regex.VERBOSE,
 )
-#: Comments and everything that may hold what only looks like one.
+#: Comments and everything that may hold what only looks like one; a backtick alone opens a template
+#: that only the recursive pattern can read.
 _JS_MARKS = re.compile(
-    r"/\*[\s\S]*?\*/|//[^\n]*|'(?:[^\\'\n]|\\[\s\S])*'|\"(?:[^\\\"\n]|\\[\s\S])*\"|`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{[^{}`]*\})*`"
+    r"/\*[\s\S]*?\*/|//[^\n]*|'(?:[^\\'\n]|\\[\s\S])*'|\"(?:[^\\\"\n]|\\[\s\S])*\"|" + _T + r"|`"
     r"|(?:(?<=[(,=:\[!&|?{};+>])|(?<=[(,=:\[!&|?{};+>] )|(?<=return ))/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/"
 )
+_TEMPLATE = regex.compile(_JS_DEFINE + "(?&tpl)", regex.VERSION1 | regex.VERBOSE)
 _L = r"""[A-Za-z]{0,2}+(?:\"\"\"(?:[^\\\"]++|\\[\s\S]|\"(?!\"\"))*+\"\"\"|'''(?:[^\\']++|\\[\s\S]|'(?!''))*+''')"""
 _Q = r"[A-Za-z]{0,2}+(?:'(?:[^\\'\n]++|\\[\s\S])*+'|\"(?:[^\\\"\n]++|\\[\s\S])*+\")"
 _PY_SKIP = rf"{_L}|{_Q}|\#[^\n]*+|\w++|['\"]"
@@ -134,6 +138,18 @@ def telling(text: str, name: str, min_words: int = 4, min_han: int = 8) -> bool:
     return False
 
 
+def _js_marks(content: str):
+    """The matches of ``_JS_MARKS``, none of them inside a template."""
+    pos = 0
+    while mark := _JS_MARKS.search(content, pos):
+        pos = mark.end()
+        if mark[0] == "`":
+            whole = _TEMPLATE.match(content, mark.start())
+            pos = whole.end() if whole else pos
+        else:
+            yield mark
+
+
 def pairs(path: str | None, content: str | None, min_words: int = 4, min_han: int = 8):
     """(name, line, args, description, documentation, code) of each documented function of one file."""
     kind = extension(path)
@@ -145,7 +161,7 @@ def pairs(path: str | None, content: str | None, min_words: int = 4, min_han: in
     if "\r" in content:
         content = content.replace("\r\n", "\n").replace("\r", "\n")
     out, line, last = [], 1, 0
-    for mark in (_PY_MARKS if python else _JS_MARKS).finditer(content):
+    for mark in _PY_MARKS.finditer(content) if python else _js_marks(content):
         text = mark[0]
         if python:
             if not text.endswith("def"):

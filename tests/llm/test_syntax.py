@@ -90,3 +90,14 @@ def test_operators(spark):
     assert sourcecode.syntax_errors(f.limit(0)).count() == 0 and sourcecode.documented_functions(f.limit(0)).count() == 0
     rates = {(r["repo"], r["language"]): (r["files"], r["invalid"]) for r in sourcecode.syntax_rates(f.where("path IS NOT NULL")).collect()}
     assert rates[("r", "python")] == (2, 1)
+
+
+def test_templates_with_nested_braces_hide_no_documentation():
+    doc = "/** Reads the whole table from disk. */ "
+    for hole in ("f({a:1})", "x.map(y => { return `<${y}>` })", "`a${`b${c}`}`", "f('}', \"`\")", "/[`}]/.test(x)", "a /* ` } */"):
+        text = f"const a=`x ${{{hole}}} y`; {doc}function g(){{ return `p${{{hole}}}q` }} const b=`z`\n{doc}function h(){{}}\n"
+        assert syntax.check("a.ts", text) is None, text
+        got = D.pairs("a.ts", text)
+        assert [(n, line) for n, line, *_ in got] == [("g", 1), ("h", 2)], text
+        assert got[0][5].endswith("q` }")
+    assert D.pairs("a.ts", f"const a=`${{f({{}})}} {doc}function g(){{}}`\n") == []
