@@ -17,7 +17,7 @@ import re
 
 import regex
 
-from .syntax import check, extension
+from .syntax import extension, verdict
 
 # parts without recursion are written out in place: only brackets inside brackets call themselves
 _S = r"""'(?:[^\\'\n]++|\\[\s\S])*+'|"(?:[^\\"\n]++|\\[\s\S])*+\""""
@@ -191,6 +191,6 @@ def pairs(path: str | None, content: str | None, min_words: int = 4, min_han: in
 
 
 def valid_pairs(path, content, min_words: int = 4, min_han: int = 8):
-    """``pairs`` of a file that parses, none of one that does not."""
+    """``pairs`` of a file that is valid by the verdict that the syntax errors go by, none of any other."""
     found = pairs(path, content, min_words, min_han)
-    return found if found and check(path, content) is None else []
+    return found if found and verdict(path, content) is None else []

@@ -6,29 +6,13 @@ findings leave a task.
 
 from __future__ import annotations
 
-import ast
-import warnings
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
 from .docpairs import valid_pairs
-from .syntax import check, extension
-
-
-def _confirmed(path: str, content: str) -> bool:
-    """The exact check for Python: whether the interpreter refuses the file as well."""
-    if extension(path) != "py":
-        return True
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            compile(content, "<file>", "exec", ast.PyCF_ONLY_AST, True)
-    except (SyntaxError, ValueError, MemoryError, RecursionError):
-        return True
-    return False
+from .syntax import verdict
 
 
 def _column(batch: pa.RecordBatch, name: str) -> list:
@@ -48,8 +32,8 @@ def syntax_errors(files: DataFrame, path: str = "path", content: str = "content"
             rows = []
             keeps = [_column(b, f"keep_{i}") for i in range(len(keep))]
             for i, (p, c) in enumerate(zip(_column(b, "path"), _column(b, "content"))):
-                bad = check(p, c) if p and c else None
-                if bad and _confirmed(p, c):
+                bad = verdict(p, c) if p and c else None
+                if bad:
                     rows.append((p, *bad, *[k[i] for k in keeps]))
             cols = list(zip(*rows)) if rows else [[] for _ in range(4 + len(keep))]
             yield pa.RecordBatch.from_arrays(

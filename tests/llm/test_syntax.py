@@ -101,3 +101,11 @@ def test_templates_with_nested_braces_hide_no_documentation():
         assert [(n, line) for n, line, *_ in got] == [("g", 1), ("h", 2)], text
         assert got[0][5].endswith("q` }")
     assert D.pairs("a.ts", f"const a=`${{f({{}})}} {doc}function g(){{}}`\n") == []
+
+
+def test_pairs_and_errors_share_one_verdict(spark):
+    doc = '    """Reads the whole table from disk."""\n'
+    texts = {"a.py": f'def f(d):\n{doc}    return f"{{d["k"]}}"\n', "b.py": f"def f(d):\n{doc}    f() = 1 2\n", "c.py": f"def f(d):\n{doc}    return d\n"}
+    f = spark.createDataFrame(list(texts.items()), "path string, content string")
+    assert {r["path"] for r in sourcecode.syntax_errors(f).collect()} == {"b.py"}
+    assert {r["path"] for r in sourcecode.documented_functions(f).collect()} == {"a.py", "c.py"}
