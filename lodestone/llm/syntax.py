@@ -39,12 +39,26 @@ _NUM = (
 )
 
 # ------------------------------------------------------------------------------------------- Python
+def _f_plain(quote: str, text: str, inner: str) -> str:
+    """F-strings whose fields hold no brackets of their kind, escapes, comments or quotes but plain strings."""
+    return rf"{quote}(?:{text}|\\N\{{[^{{}}\n]*\}}|\\(?!N\{{)[^{{}}]|\{{\{{|\}}\}}|\{{(?:[^{{}}'\"\\\n#]|{inner})*\}})*{quote}"
+
+
+_IN_1, _IN_2 = r"'[^'\\\n{}]*'(?!')", r'"[^"\\\n{}]*"(?!")'
+_F_PLAIN = (
+    "(?:[fF][rR]?|[rR][fF])(?:" + _f_plain("'''", r"[^{}'\\]|'(?!'')", _IN_2) + "|" + _f_plain('"""', r'[^{}"\\]|"(?!"")', _IN_1)
+    + "|" + _f_plain("'", r"[^{}'\\\n]", _IN_2) + "|" + _f_plain('"', r'[^{}"\\\n]', _IN_1) + ")"
+)
+_F_OPEN = re.compile(r"([fF][rR]?|[rR][fF])('''|\"\"\"|['\"])")
+_F_TEXT = re.compile(r"[^{}\\'\"\n]*")
+_F_CONVERSION, _F_DEBUG = re.compile(r"![rsa](?!\w)\s*(?=[:}])"), re.compile(r"=\s*(?=[:}]|!(?!=))")
 _PY = re.compile(
     r"[ \t\f]*(?:\\\n[ \t\f]*)*("
     r"[^\W\d]\w*(?!['\"\w])|[()\[\]{},;~]"
     r"|\n(?:[ \t\f]*(?:\#[^\n]*)?\n)*[ \t\f]*"
     r"|\#[^\n]*"
-    r"|(?:[rRbBuUfFtT]|[bBfFtT][rR]|[rR][bBfFtT])?(?:'''(?:[^\\']|\\[\s\S]|'(?!''))*'''"
+    rf"|{_F_PLAIN}|(?:[fF][rR]?|[rR][fF])(?:'''|\"\"\"|['\"])"
+    r"|(?:[rRbBuU]|[bB][rR]|[rR][bB])?(?:'''(?:[^\\']|\\[\s\S]|'(?!''))*'''"
     r'|"""(?:[^\\"]|\\[\s\S]|"(?!""))*"""'
     r"|'(?!'')(?:[^\\'\n]|\\[\s\S])*'|\"(?!\"\")(?:[^\\\"\n]|\\[\s\S])*\")"
     r"|[^\W\d]\w*"
@@ -84,6 +98,8 @@ def _py_class(t: str):
     if t in _PY_OP:
         return _PY_OP[t]
     if c.isalpha() or c == "_":
+        if _F_OPEN.match(t):
+            return "STR" if _f_end(t, 0) == len(t) else "ERROR"
         if t[-1] in "'\"":
             return "STR"
         return "NAME" if t.isidentifier() else "ERROR"
@@ -101,16 +117,77 @@ def _width(ws: str) -> tuple[int, int]:
     return wide, len(ws)
 
 
-_PY_CLASSES = _Classes(_py_class)
-_OPEN, _CLOSE = {"(", "[", "{"}, {")", "]", "}"}
+def _f_end(text: str, pos: int, nest: int = 0):
+    """Where the f-string at ``pos`` ends; None if it does not, if one of its fields is not valid, or if it
+    lies in 150 others, the limit of the language's own reader."""
+    m = _F_OPEN.match(text, pos)
+    return _f_text(text, m.end(), m[2], "r" in m[1].lower(), 0, nest) if nest < 150 else None
+
+
+def _f_text(text: str, pos: int, quote: str, raw: bool, level: int, nest: int):
+    """The end of the text of an f-string, or (``level`` over 0) of a format specification in it."""
+    while True:
+        pos = _F_TEXT.match(text, pos).end()
+        c = text[pos : pos + 1]
+        if not c:
+            return None
+        if text.startswith(quote, pos):
+            return None if level else pos + len(quote)
+        if c == "\\":
+            if not raw and text.startswith("N{", pos + 1):
+                pos = text.find("}", pos) + 1
+                if not pos:
+                    return None
+            else:
+                pos += 1 if text[pos + 1 : pos + 2] in "{}" else 2
+        elif c == "{":
+            pos = pos + 2 if not level and text.startswith("{", pos + 1) else _f_field(text, pos + 1, quote, raw, level, nest)
+            if pos is None:
+                return None
+        elif c == "}":
+            if level:
+                return pos + 1
+            if not text.startswith("}", pos + 1):
+                return None
+            pos += 2
+        elif c == "\n" and len(quote) == 1 and not level:
+            return None
+        else:
+            pos += 1
 
 
-def _line(text: str, i: int, rx) -> int:
-    """Line of token ``i`` of the scan of ``text``."""
-    for k, m in enumerate(rx.finditer(text)):
-        if k == i:
-            return text.count("\n", 0, m.start(1)) + 1
-    return text.count("\n") + 1
+def _f_field(text: str, pos: int, quote: str, raw: bool, level: int, nest: int):
+    """The end of the field whose expression begins at ``pos``; the expression is derived by the grammar."""
+    g = machine_of("py").grammar
+    s, depth = g.rules["Value"], 0
+    while level < 3 and (m := _PY.match(text, pos)):
+        t, at, pos = m[1], m.start(1), m.end()
+        if not depth and (t[0] in ":!}" and t != "!=" or t == "=" and _F_DEBUG.match(text, at)):
+            if not s.nullable:
+                return None
+            if t == "=":
+                at = _F_DEBUG.match(text, at).end()
+            if text[at] == "!":
+                m = _F_CONVERSION.match(text, at)
+                if not m:
+                    return None
+                at = m.end()
+            return at + 1 if text[at] == "}" else _f_text(text, at + 1, quote, raw, level + 1, nest)
+        if _F_OPEN.match(t):
+            pos, c = _f_end(text, at, nest + 1), "STR"
+        else:
+            c = _PY_CLASSES[t]
+            if c == " " or type(c) is tuple:
+                continue
+        s = g.derive(s, c)
+        if pos is None or s is g.empty:
+            return None
+        depth += (c in _OPEN) - (c in _CLOSE)
+    return None
+
+
+_PY_CLASSES = _Classes(_py_class)
+_OPEN, _CLOSE = {"(", "[", "{"}, {")", "]", "}"}
 
 
 class State(dict):
@@ -199,11 +276,15 @@ def check_python(text: str):
     s = reduce(getitem, map(_PY_CLASSES.__getitem__, toks), s)
     if s is not machine.dead:
         return None if s.lang.nullable and not s.rest[0] else ("truncated", text.count("\n") - 1, "")
-    s, dead = machine.start, machine.dead
-    for i, t in enumerate(toks):
-        s = s[_PY_CLASSES[t]]
+    s, dead, pos = machine.start, machine.dead, 0
+    while m := _PY.match(text, pos):  # again, with f-strings of any nesting
+        t, pos = m[1], m.end()
+        end = _f_end(text, m.start(1)) if _F_OPEN.match(t) else None
+        s = s["STR" if end else _PY_CLASSES[t]]
+        pos = end or pos
         if s is dead:
-            return "rejected", _line(text, i, _PY) - 1, "line break or indentation" if t[0] == "\n" else t[:40]
+            return "rejected", text.count("\n", 0, m.start(1)), "line break or indentation" if t[0] == "\n" else t[:40]
+    return None if s.lang.nullable and not s.rest[0] else ("truncated", text.count("\n") - 1, "")
 
 
 # --------------------------------------------------------------------------------- JavaScript family
@@ -431,14 +512,18 @@ def check(path: str | None, content: str | None):
 
 
 def verdict(path: str | None, content: str | None):
-    """``check``, where a Python file that it refuses is confirmed by the interpreter's own parser."""
+    """``check``; about a Python file the interpreter's own parser has the last word, unless it is too deep for it."""
     bad = check(path, content)
-    if bad is None or extension(path) != "py":
+    if not content or extension(path) != "py":
         return bad
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             compile(content.removeprefix("\ufeff"), "<file>", "exec", ast.PyCF_ONLY_AST, True)
-    except (SyntaxError, ValueError, MemoryError, RecursionError):
+    except SyntaxError as e:
+        return bad or ("rejected", e.lineno or 1, (e.text or "").strip()[:40])
+    except ValueError:
+        return bad or ("rejected", 1, "")
+    except (MemoryError, RecursionError):
         return bad
     return None

@@ -109,3 +109,17 @@ def test_pairs_and_errors_share_one_verdict(spark):
     f = spark.createDataFrame(list(texts.items()), "path string, content string")
     assert {r["path"] for r in sourcecode.syntax_errors(f).collect()} == {"b.py"}
     assert {r["path"] for r in sourcecode.documented_functions(f).collect()} == {"a.py", "c.py"}
+
+
+def test_fields_of_python_strings():
+    good = ['f"{d["k"]}"', 'f"{a!r:>{w}}"', 'f"{x:{y:{z}}}"', 'f"{{}}{a=}"', "rf'\\{a}{{2}}'", 'f"{f"{f"{1}"}"}"', "f'''{\na}'''", 'f"{a:=5}"', 'f"{\'}\'}"', 'f"\\N{BULLET}{a}"']
+    bad = ['f"{a b}"', 'f"{"', 'f"}"', 'f"{}"', 'f"{a!x}"', 'f"{lambda x:1}"', 'f"{a:{b c}}"', 'f"{a["b" c]}"', 't"{a}"', 'f"{a;b}"', "f'''{a\nb}'''", 'f"{a=b}"']
+    for text in good:
+        assert syntax.check("a.py", f"x = {text}\n") is None and ast.parse(f"x = {text}\n"), text
+    for text in bad:
+        assert syntax.check("a.py", f"x = {text}\n") is not None, text
+    assert syntax.check("a.py", 'a = 1\nx = f"{a b}"\n') == ("rejected", 2, 'f"{a b}"')
+    assert syntax.check("a.py", "x = " + 'f"{' * 400 + "1" + '}"' * 400) is not None
+    for text in ('x = "\\x4"\n', "x = b'é'\n", "x = '\\N{no such sign}'\n", "f() = 1\n"):
+        assert syntax.verdict("a.py", text)[:2] == ("rejected", 1), text
+    assert syntax.verdict("a.py", '\ufeffx = f"{d["k"]}"\n') is None
