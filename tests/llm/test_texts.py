@@ -155,3 +155,12 @@ def test_queries_run(spark, name):
     if name in Q.SQL:
         got, want, _, _ = oracle.compare(spark, oracle.connect(d), Q.QUERIES[name], Q.SQL[name], d)
         assert got == want
+
+
+def test_families_need_no_mark(spark):
+    def member(name, k, n=40):
+        return "\n".join(f"def {name}_{i}(a_{i}):\n    return a_{i} * {i * k} + len('text number {i}')\n" for i in range(n))
+
+    rows = [(f"r1/api/{x}.py", "r1", member(x, 7919)) for x in ("pay", "bill", "mail")] + [(f"r2/api/{x}.py", "r2", member(x, 6101)) for x in ("a", "b")] + [(f"r3/{x}.py", "r3", member(x, 31, 3)) for x in "abcd"]
+    got = {r["path"]: list(r["reasons"]) for r in provenance.not_hand_written(spark.createDataFrame(rows, "path string, repo string, content string")).collect()}
+    assert got == {f"r1/api/{x}.py": ["family"] for x in ("pay", "bill", "mail")}
