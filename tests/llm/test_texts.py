@@ -164,3 +164,16 @@ def test_families_need_no_mark(spark):
     rows = [(f"r1/api/{x}.py", "r1", member(x, 7919)) for x in ("pay", "bill", "mail")] + [(f"r2/api/{x}.py", "r2", member(x, 6101)) for x in ("a", "b")] + [(f"r3/{x}.py", "r3", member(x, 31, 3)) for x in "abcd"]
     got = {r["path"]: list(r["reasons"]) for r in provenance.not_hand_written(spark.createDataFrame(rows, "path string, repo string, content string")).collect()}
     assert got == {f"r1/api/{x}.py": ["family"] for x in ("pay", "bill", "mail")}
+
+
+def test_long_banners_and_literals_are_read_whole():
+    def said(text):
+        return provenance.marks("r1/a.js", text, *provenance.masked(text))
+
+    licence = "\n".join(f" * Line {i} of a licence that says what everybody may do with these lines of code." for i in range(200))
+    assert said(f"/*\n * Code generated by tool 1.2.\n{licence}\n */\nlet x = 1\n")[0]
+    assert said(f"/*!\n{licence}\n * Bundled copy of lib.\n */\nlet x = 1\n")[1]
+    assert said("".join(f"// line {i} of the licence of all this\n" for i in range(400)) + "// @generated\nlet x = 1\n")[0]
+    assert not said("let x = 1\n" + "// no\n" * 2000 + "// @generated\n")[0]
+    calls = "f(a, b);\n" * 60
+    assert said(f"{calls}const A = '{'QUJD' * 900}';\n")[3] and not said(f"{calls}const A = '{'abcd' * 120}{' plain words' * 400}';\n")[3]
