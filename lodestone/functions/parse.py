@@ -200,9 +200,134 @@ def call_sites(path: str, text: str):
                 yield path, n.lineno, f.attr, ast.unparse(f), ast.unparse(owner)
 
 
+class FlowGraph:
+    """Basic blocks of one function and their successors; block 0 is the entry, block 1 the exit.
+
+    A place in the code is ``(open, before)``: the block that goes on there, or else the blocks after which
+    a new one begins; a place after nothing is dead. Within ``try`` every block may jump to each handler and
+    to ``finally``; a ``with`` whose body does not fall through may still be left by a suppressed exception.
+    Conditions that are constants have one way out."""
+
+    def __init__(self, body: list):
+        self.succ: list[set] = [set(), set()]
+        self.around: list[tuple] = []
+        self.join(self.leaves(self.body(body, (None, [0]))), 1)
+
+    def new(self, before) -> int:
+        self.succ.append(set())
+        self.join(before, len(self.succ) - 1)
+        return len(self.succ) - 1
+
+    def join(self, blocks, target: int):
+        for b in blocks:
+            self.succ[b].add(target)
+
+    @staticmethod
+    def leaves(place) -> list:
+        return place[1] if place[0] is None else [place[0]]
+
+    def jump(self, kind: str, b: int):
+        """Leaves block ``b`` by ``return``, ``raise``, ``break`` or ``continue``, through what lies around it."""
+        for what, x, head in reversed(self.around):
+            if what == "finally":
+                x.append((kind, b))
+                return
+            if what == "try" and kind == "raise":
+                return
+            if what == "loop" and kind == "break":
+                x.append(b)
+                return
+            if what == "loop" and kind == "continue":
+                self.succ[b].add(head)
+                return
+        self.succ[b].add(1)
+
+    def body(self, statements: list, place):
+        for n in statements:
+            place = self.statement(n, place)
+        return place
+
+    def statement(self, n, place):
+        if isinstance(n, (ast.While, ast.For, ast.AsyncFor)):
+            return self.loop(n, self.leaves(place))
+        if isinstance(n, (ast.Try, ast.TryStar)):
+            return self.attempt(n, self.leaves(place))
+        b = self.new(place[1]) if place[0] is None else place[0]
+        if isinstance(n, ast.If):
+            ends = []
+            while True:
+                known = bool(n.test.value) if isinstance(n.test, ast.Constant) else None
+                ends += self.leaves(self.body(n.body, (None, [] if known is False else [b])))
+                other = [] if known else [b]
+                if len(n.orelse) != 1 or not isinstance(n.orelse[0], ast.If):
+                    return None, ends + self.leaves(self.body(n.orelse, (None, other)))
+                n, b = n.orelse[0], self.new(other)
+        if isinstance(n, ast.Match):
+            ends, open_end = [], True
+            for c in n.cases:
+                ends += self.leaves(self.body(c.body, (None, [b])))
+                open_end &= c.guard is not None or not isinstance(c.pattern, ast.MatchAs) or c.pattern.pattern is not None
+            return None, ends + [b] * open_end
+        if isinstance(n, (ast.With, ast.AsyncWith)):
+            end = self.body(n.body, (b, []))
+            return end if self.leaves(end) else (None, [b])
+        if isinstance(n, ast.Assert):
+            self.jump("raise", b)
+            return None, [b]
+        if isinstance(n, (ast.Return, ast.Raise, ast.Break, ast.Continue)):
+            self.jump(type(n).__name__.lower(), b)
+            return None, []
+        return b, []
+
+    def loop(self, n, before):
+        head, breaks = self.new(before), []
+        known = bool(n.test.value) if isinstance(n, ast.While) and isinstance(n.test, ast.Constant) else None
+        self.around.append(("loop", breaks, head))
+        self.join(self.leaves(self.body(n.body, (None, [] if known is False else [head]))), head)
+        self.around.pop()
+        return None, self.leaves(self.body(n.orelse, (None, [] if known else [head]))) + breaks
+
+    def attempt(self, n, before):
+        first, jumps = len(self.succ), []
+        if n.finalbody:
+            self.around.append(("finally", jumps, None))
+        if n.handlers:
+            self.around.append(("try", None, None))
+        end = self.body(n.body, (self.new(before), []))
+        tried = range(first, len(self.succ))
+        if n.handlers:
+            self.around.pop()
+        ends = self.leaves(self.body(n.orelse, (None, self.leaves(end)))) if n.orelse else self.leaves(end)
+        for h in n.handlers:
+            ends = ends + self.leaves(self.body(h.body, (self.new(tried), [])))
+        if not n.finalbody:
+            return None, ends
+        self.around.pop()
+        alive = self.reached([0])
+        last = self.leaves(self.body(n.finalbody, (self.new(range(first, len(self.succ))), [])))
+        for b in last:
+            for kind in dict.fromkeys(["raise", *[k for k, x in jumps if x in alive]]):
+                self.jump(kind, b)
+        return None, last if alive & set(ends) else []
+
+    def reached(self, todo: list) -> set:
+        seen: set = set()
+        while todo:
+            b = todo.pop()
+            if b not in seen:
+                seen.add(b)
+                todo.extend(self.succ[b])
+        return seen
+
+    def dead(self) -> int:
+        """Blocks of code that the entry does not reach."""
+        return len(self.succ) - len(self.reached([0]) | {1})
+
+
 def control_flow(path: str, text: str):
-    """(module, function, line, blocks, edges, complexity, nesting) of each Python function: decision points
-    plus one, and the deepest nesting of compound statements."""
+    """(module, function, line, blocks, edges, complexity, nesting, dead_blocks) of each Python function: basic
+    blocks (entry and exit included) and edges of its control-flow graph, decision points plus one, the
+    deepest nesting of compound statements, and the blocks that the entry does not reach."""
     try:
         tree = tree_of(text.replace("\r\n", "\n"))
     except (SyntaxError, ValueError, RecursionError, MemoryError):
@@ -225,8 +350,8 @@ def control_flow(path: str, text: str):
             cc = 1
             for n in inside(f):
                 cc += isinstance(n, branch) + (len(n.values) - 1 if isinstance(n, ast.BoolOp) else 0) + (len(n.ifs) if isinstance(n, ast.comprehension) else 0)
-            blocks = sum(isinstance(n, ast.stmt) for n in inside(f)) + 2
-            yield path, f.name, f.lineno, blocks, blocks + cc - 2, cc, max((depth(c) for c in f.body), default=0)
+            g = FlowGraph(f.body)
+            yield path, f.name, f.lineno, len(g.succ), sum(map(len, g.succ)), cc, max((depth(c) for c in f.body), default=0), g.dead()
 
 
 def definitions_uses(path: str, text: str):
@@ -345,7 +470,7 @@ def parse_orm(path: str, text: str):
 
 TABLES = {
     "call_sites": (call_sites, "module string, line int, name string, full_name string, receiver string"),
-    "control_flow": (control_flow, "module string, function string, line int, blocks int, edges int, complexity int, nesting int"),
+    "control_flow": (control_flow, "module string, function string, line int, blocks int, edges int, complexity int, nesting int, dead_blocks int"),
     "definitions_uses": (definitions_uses, "module string, function string, line int, source string, target string, operation string"),
     "taint_flows": (taint_flows, "module string, source_line int, sink_line int, source string, sink string, risk string"),
     "ddl": (parse_ddl, "source string, table_name string, column_name string, type string, primary_key boolean, nullable boolean, referenced_table string, referenced_column string"),

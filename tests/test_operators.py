@@ -142,3 +142,25 @@ def test_labels(spark):
     assert one(spark, L.safe_label(F.lit('a["x"]<b>'))) == "a('x')⟨b⟩"
     page = spark.createDataFrame([(1, "# T [@src:a/b.py:9]\n| x [@src:a/b.py:10] | [@src:c.ts:98] |")], "id int, text string")
     assert [(r["path"], r["line"]) for r in L.anchors(page, "id", "text").collect()] == [("a/b.py", 9), ("a/b.py", 10), ("c.ts", 98)]
+
+
+def test_control_flow_graph():
+    def graph(body):
+        text = "def f(x):\n" + "".join(f"  {x}\n" for x in body.split("\n"))
+        (row,) = P.control_flow("m", text)
+        return row[3], row[4], row[7]
+
+    assert graph("a = 1\nb = 2\nreturn a") == (3, 2, 0)
+    assert graph("if x > 0:\n  return 1\nelif x < 0:\n  return 2\nelse:\n  return 3") == (7, 8, 0)
+    assert graph("if x:\n  a = 1\nb = 2") == (5, 5, 0)
+    assert graph("for i in x:\n  if i:\n    continue\n  a = i\nreturn a") == (7, 8, 0)
+    assert graph("return 1\na = 2\nb = 3") == (4, 3, 1)
+    assert graph("while True:\n  if x:\n    break\nreturn 1") == (6, 6, 0)
+    assert [graph(b)[2] for b in (
+        "while True:\n  x()\na = 1", "raise E\nif x:\n  a = 1", "if x:\n  return 1\nelse:\n  raise E\na = 1", "for i in x:\n  break\n  a = 1", "if False:\n  a = 1\nreturn x",
+        "try:\n  return x()\nfinally:\n  y()\na = 1", "match x:\n  case 1:\n    return 1\n  case _:\n    return 2\na = 1",
+    )] == [1, 2, 1, 1, 1, 1, 1]
+    assert [graph(b)[2] for b in (
+        "try:\n  return x()\nexcept E:\n  pass\na = 1", "with x:\n  return 1\na = 1", "try:\n  raise E\nexcept E:\n  a = 1\nfinally:\n  y()\nb = 1", "while x:\n  try:\n    break\n  finally:\n    y()\nelse:\n  a = 1\nb = 1",
+        "match x:\n  case 1:\n    return 1\na = 1", "for i in x:\n  try:\n    continue\n  except E:\n    return 1\nb = 1", "try:\n  a = 1\nexcept E:\n  raise\nelse:\n  b = 1\nc = 1",
+    )] == [0] * 7
