@@ -175,14 +175,14 @@ def test_clusters_find_what_brute_force_finds(spark, level):
     """Recall of the leaders' scheme: files with a verified partner, against all pairs."""
     f = spark.read.parquet("/root/testdata/sf0.01/source_files.parquet")
     prints = provenance.cut(provenance.fingerprints(f))
-    got = {r["id"] for r in provenance.clusters(f, prints, level).collect()}
+    found = provenance.shape_clusters(prints) if level == "shape" else provenance.body_clusters(f, prints, small=0)
+    got = {r["id"] for r in found.collect()}
+    text = {r["path"]: (r["content"] or "").replace("\r\n", "\n") for r in f.select("path", "content").distinct().collect()}
     sets = {}
-    for r in f.select("path", "content").distinct().collect():
-        ids = provenance.masked((r["content"] or "").replace("\r\n", "\n"))[0]
-        sets[r["path"]] = frozenset(provenance.shingles(ids if level == "body" else provenance.shape_of(ids)).tolist())
-    ids = {r["path"]: r["id"] for r in prints.select("path", "id").collect()}
-    names = [p for p in sets if sets[p]]
-    want = {ids[p] for p in names if any(q != p and len(sets[p] & sets[q]) >= 0.8 * len(sets[p] | sets[q]) for q in names)}
+    for r in prints.where(f"{level} IS NOT NULL").select("id", "path").collect():
+        ids = provenance.masked(text[r["path"]])[0]
+        sets[r["id"]] = frozenset(provenance.shingles(ids if level == "body" else provenance.shape_of(ids)).tolist())
+    want = {p for p in sets if any(q != p and len(sets[p] & sets[q]) >= 0.8 * len(sets[p] | sets[q]) for q in sets)}
     assert want and len(want & got) >= 0.98 * len(want) and got <= want
 
 
