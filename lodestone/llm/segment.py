@@ -3,15 +3,15 @@
 The units of a text are its lines; a line that is itself over the limit becomes several units, cut at
 sentence ends or blanks. At every unit boundary the words of a block before it are compared with those
 of a block after it (cosine); the depth of a valley says how much the vocabulary changes there. Each
-piece ends at the deepest valley of the second half of its window, and the next piece begins up to
-``overlap`` characters earlier, at a unit or word boundary.
+piece ends at the deepest valley of its window, and the next piece begins up to ``overlap`` characters
+earlier, at a unit or word boundary.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,9 +21,10 @@ _WORD = re.compile(r"[^\W_]{2,}|[぀-ヿ㐀-鿿]")
 _BREAK = re.compile(r"(?<=[.!?。！？；;…])\s+|(?<=[。！？；…])|\s+|(?<=[,，、])")
 
 
-def units(text: str, size: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """(start, end without the line feed) of each unit, and the numbers of the lines over ``size``."""
-    out, long_lines, at = [], [], 0
+def units(text: str, size: int, overlap: int = 0) -> tuple[list[tuple[int, int]], list[int]]:
+    """(start, end without the line feed) of each unit, and the numbers of the lines over ``size``. Units of
+    a line over ``size`` leave room for an overlap."""
+    out, long_lines, at, most = [], [], 0, max(1, size - overlap)
     for number, line in enumerate(text.split("\n"), 1):
         end = at + len(line)
         if len(line) <= size:
@@ -33,24 +34,24 @@ def units(text: str, size: int) -> tuple[list[tuple[int, int]], list[int]]:
             start, last, target = at, at, max(1, size // 4)
             for m in _BREAK.finditer(text, at, end):
                 cut = m.end()
-                if cut - start > size and last > start:
+                if cut - start > most and last > start:
                     out.append((start, last))
                     start = last
                 if cut - start >= target:
-                    while cut - start > size:  # no boundary in reach
-                        out.append((start, start + size))
-                        start += size
+                    while cut - start > most:  # no boundary in reach
+                        out.append((start, start + most))
+                        start += most
                     if cut > start:
                         out.append((start, cut))
                     start = last = cut
                 else:
                     last = cut
-            if end - start > size and last > start:
+            if end - start > most and last > start:
                 out.append((start, last))
                 start = last
-            while end - start > size:
-                out.append((start, start + size))
-                start += size
+            while end - start > most:
+                out.append((start, start + most))
+                start += most
             if end > start:
                 out.append((start, end))
         at = end + 1
@@ -79,50 +80,58 @@ def depths(bags: list[Counter], block: int = 6) -> list[float]:
         right -= bags[i + 1]
         if i + 1 + block < n:
             right += bags[i + 1 + block]
-    out = []
-    for i, s in enumerate(sims):
-        lo, j = s, i
-        while j > 0 and sims[j - 1] >= lo:
-            j -= 1
-            lo = sims[j]
-        hi, j = s, i
-        while j + 1 < len(sims) and sims[j + 1] >= hi:
-            j += 1
-            hi = sims[j]
-        out.append((lo - s) + (hi - s))
-    return out + [0.0]
+    # the peak on either side is that of the run that falls towards the boundary
+    left_peak, right_peak = list(sims), list(sims)
+    for i in range(1, len(sims)):
+        if sims[i - 1] >= sims[i]:
+            left_peak[i] = left_peak[i - 1]
+    for i in range(len(sims) - 2, -1, -1):
+        if sims[i + 1] >= sims[i]:
+            right_peak[i] = right_peak[i + 1]
+    return [round(p + q - 2 * s, 9) for p, q, s in zip(left_peak, right_peak, sims)] + [0.0]
+
+
+_OVERLAP_AT = re.compile(r"\s(?=\S)|[。！？，、；：…](?=\S)")
 
 
 def pieces(text: str, size: int = 2000, overlap: int = 200) -> tuple[list[tuple[int, int]], list[int]]:
-    """(start, end) of each piece, at most ``size`` characters long, and the lines that had to be cut."""
-    cells, long_lines = units(text, size)
+    """(start, end) of each piece, at most ``size`` characters long, and the lines that had to be cut.
+
+    A piece ends at the deepest valley of its window, which begins ``overlap`` characters into what the piece
+    adds to the one before and ends where ``size`` is reached; of equal valleys the last one counts. The
+    windows only move forward, so their deepest valleys are kept in a queue and a text costs linear time."""
+    cells, long_lines = units(text, size, overlap)
     deep = depths([Counter(w.lower() for w in _WORD.findall(text[a:b])) for a, b in cells])
     out, i, start, n = [], 0, 0, len(cells)
+    queue: deque[int] = deque()  # falling depths of the window
+    j, low = -1, 0
     while i < n:
-        j = i
-        while j + 1 < n and cells[j + 1][1] - start <= size:
+        while j + 1 < n and (cells[j + 1][1] - start <= size or j < i):
             j += 1
+            while queue and deep[queue[-1]] <= deep[j]:
+                queue.pop()
+            queue.append(j)
         if j == n - 1:
             out.append((start, max(start, len(text)) if len(text) - start <= size else cells[j][1]))
             break
-        cut = j
-        half = [k for k in range(i, j + 1) if cells[k][1] - start >= size // 2]
-        if half:
-            blank = lambda k: cells[k][1] == cells[k][0] or cells[k + 1][1] == cells[k + 1][0]
-            cut = max(half, key=lambda k: (round(deep[k], 6) + 0.05 * blank(k), k))
+        low = max(low, i)
+        while low < j and cells[low][1] - cells[i][0] < overlap:
+            low += 1
+        while queue[0] < low:
+            queue.popleft()
+        cut = queue[0]
         end = cells[cut][1]
         out.append((start, end))
-        i, room = cut + 1, size - (cells[cut + 1][1] - cells[cut + 1][0]) - 1
-        room = min(overlap, room)
-        start = cells[i][0]
-        k = cut
+        i = cut + 1
+        room = min(overlap, size - (cells[i][1] - cells[i][0]) - 1)
+        start, k = cells[i][0], cut
         while k >= 0 and end - cells[k][0] <= room and cells[k][0] > out[-1][0]:
             start = cells[k][0]
             k -= 1
-        if start == cells[i][0] and room > 20:  # no whole unit fits: begin at a word
-            m = re.compile(r"\s\S|[。！？，、]\S").search(text, max(out[-1][0] + 1, end - room), end)
-            if m:
-                start = m.start() + 1
+        if start == cells[i][0] and room > 0:  # no whole unit fits: begin after a blank or mark
+            least = max(out[-1][0] + 1, end - room)
+            m = _OVERLAP_AT.search(text, least - 1, end)
+            start = m.end() if m and m.end() < end else least  # without a boundary any place will do
     return out, long_lines
 
 
