@@ -76,6 +76,38 @@ def p2_pieces(spark, d):
     return segment.split_oversized(table(spark, d, "chunks"))
 
 
+@query(
+    f"""
+    WITH t AS ({_LONG}) SELECT chunk_id, true AS small_enough, true AS overlap_kept, true AS covers, true AS lines_right, true AS lines_whole FROM t
+    """
+)
+def p2_invariants(spark, d):
+    """What the pieces of every long text must be: at most 2,000 characters, overlapping by 200 at most and
+    by something, without a gap from the first to the last character, with the right line numbers, and with
+    every line of up to 2,000 characters whole in one of them."""
+    chunks = table(spark, d, "chunks").where(F.octet_length("text") > 6000)
+    whole = chunks.groupBy("chunk_id").agg(F.first("text").alias("whole"), F.first("start_line").alias("line"))
+    got = segment.oversized_pieces(chunks).groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("piece", "start_char", "end_char", "start_line", "end_line", "text"))).alias("p"))
+    p = F.col("p")
+    pairs = F.arrays_zip(F.slice(p, 1, F.size(p) - 1).alias("a"), F.slice(p, 2, F.size(p) - 1).alias("b"))
+    first = F.greatest(F.coalesce("line", F.lit(1)), F.lit(1))
+    breaks = lambda x: F.length(x) - F.length(F.translate(x, "\n", ""))
+    upto = lambda n: F.substring(F.col("whole"), F.lit(1), n.cast("int"))
+    shared = lambda x: x["a"]["end_char"] - x["b"]["start_char"]
+    gap = lambda x: F.translate(F.substring(F.col("whole"), (x["a"]["end_char"] + 1).cast("int"), (-shared(x)).cast("int")), "\n", "") == ""
+    # a line that no piece holds whole would end after the piece in which it starts and begin before the next
+    lines = F.split(F.col("whole"), "\n", -1)
+    joined = F.array_join(F.transform(p, lambda x: x["text"]), "\n\u0000\n")
+    return got.join(whole, "chunk_id").select(
+        "chunk_id",
+        F.forall(p, lambda x: (F.length(x["text"]) <= 2000) & (x["text"] == F.substring(F.col("whole"), (x["start_char"] + 1).cast("int"), (x["end_char"] - x["start_char"]).cast("int")))).alias("small_enough"),
+        F.forall(pairs, lambda x: (shared(x) <= 200) & (x["b"]["end_char"] > x["a"]["end_char"])).alias("overlap_kept"),
+        (F.forall(pairs, lambda x: (shared(x) >= 0) | gap(x)) & (p[0]["start_char"] == 0) & (F.element_at(p, -1)["end_char"] == F.length("whole"))).alias("covers"),
+        F.forall(p, lambda x: (x["start_line"] == first + breaks(upto(x["start_char"]))) & (x["end_line"] == x["start_line"] + breaks(x["text"]))).alias("lines_right"),
+        F.forall(lines, lambda x: (F.length(x) > 2000) | F.contains(F.concat(F.lit("\n"), joined, F.lit("\n")), x)).alias("lines_whole"),
+    )
+
+
 # 6 filling fixed-capacity containers -----------------------------------------------------------
 @query()
 def p6_containers(spark, d):

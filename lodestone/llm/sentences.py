@@ -1,6 +1,8 @@
 """Sentence boundaries across languages and scripts, by a pushdown automaton.
 
-A text is cut into blocks (blank lines, headings, list items, paragraphs); within a paragraph the
+A text is cut into blocks (blank lines, headings, list items, paragraphs). Open list levels are kept on a
+stack by their indentation and last number, so that an item knows its level and a number that a line break has
+moved to the start of a line opens none. Within a paragraph the
 automaton moves from one mark of interest to the next and keeps the open quotations and brackets on a
 stack: a terminator ends a sentence only where the stack is empty, or where closing the last quotation
 or bracket leaves nothing else of the sentence. Abbreviations are looked up in a trie read backwards
@@ -39,6 +41,7 @@ _THAI = re.compile(r"[฀-๿]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 _HEADING = re.compile(r"[ \t]*(#{1,6})[ \t]+(?=\S)")
 _ITEM = re.compile(r"[ \t]*(?:[-*+•‣◦▪·–][ \t]+|\(?(?:\d{1,3}|[a-z])[.)][ \t]+|\d{1,3}[、．])(?:\[[ xX]\][ \t]+)?(?=\S)")
+_DIGITS = re.compile(r"\d+")
 _QUOTE = re.compile(r"[ \t]*(?:(?:>+|//+[!/]?|#+|--+|;+|%+|\*+)[ \t]+)+(?=\S)")
 _JA_GOES_ON = "とっのはがをにでもへやか、，"
 _ZH_GOES_ON = "，、：；的地得后之等"
@@ -107,8 +110,22 @@ def _block(text: str, begin: int, end: int, out: list) -> None:
             out.append((a, b))
         start = stop
 
+    first_of: dict[int, int] = {}  # the first character of a sentence that is no space
+    ahead: dict[str, int] = {}  # where a closing mark comes next
+
     def fresh(at):
-        return not text[start:at].strip()
+        if start not in first_of:
+            first_of.clear()
+            first_of[start] = _skip(text, start, end)
+        return first_of[start] >= at
+
+    def follows_closing(c, pos):
+        """Whether the mark stands at ``pos`` or later; every stretch is searched once."""
+        found = ahead.get(c, -1)
+        if found < pos:
+            found = text.find(c, pos, end)
+            ahead[c] = found = end if found < 0 else found
+        return found < end
 
     pos = first
     while pos < end:
@@ -124,7 +141,7 @@ def _block(text: str, begin: int, end: int, out: list) -> None:
         if c == '"':
             if stack and stack[-1][0] == '"':
                 c = "close"
-            elif (at == 0 or not text[at - 1].isalnum()) and pos < end and not text[pos].isspace() and text.find('"', pos, end) > 0:
+            elif (at == 0 or not text[at - 1].isalnum()) and pos < end and not text[pos].isspace() and follows_closing('"', pos):
                 stack.append(('"', '"', fresh(at)))
                 continue
             else:
@@ -132,7 +149,7 @@ def _block(text: str, begin: int, end: int, out: list) -> None:
         elif stack and c in stack[-1][1]:
             c = "close"
         elif c in OPEN:
-            if any(0 <= text.find(x, pos, end) for x in OPEN[c]):
+            if any(follows_closing(x, pos) for x in OPEN[c]):
                 stack.append((c, OPEN[c], fresh(at)))
             continue
         elif c in CLOSERS:
@@ -227,8 +244,7 @@ def _block(text: str, begin: int, end: int, out: list) -> None:
             elif len(bare) == 1 and bare.isalpha() and bare.isupper() and not _CJK.match(bare):
                 continue
             elif bare.isdigit():
-                before = text[start : w + 1].split()
-                if nxt.strip(".,;:") in _MONTHS or (before and before[-1].lower() in _DE_BEFORE_ORDINAL and nxt[0].isupper()):
+                if nxt.strip(".,;:") in _MONTHS or (_word_before(text, start, w + 1).lower() in _DE_BEFORE_ORDINAL and nxt[0].isupper()):
                     continue
             if follows == "lower":
                 continue
@@ -245,98 +261,158 @@ def _skip(text, at, end):
     return at
 
 
+def _word_before(text, start, at) -> str:
+    while at > start and text[at - 1].isspace():
+        at -= 1
+    begin = at
+    while begin > start and not text[begin - 1].isspace():
+        begin -= 1
+    return text[begin:at]
+
+
 def _thai_before(text, start, at) -> bool:
     return bool(_THAI.search(text, start, at))
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
     """(start, end) of each sentence, in order."""
+    return [x[:2] for x in leveled(text)]
+
+
+def leveled(text: str | None) -> list[tuple[int, int, int]]:
+    """(start, end, list level) of each sentence, in order; the level is 0 outside lists."""
     if not text or not text.strip():
         return []
-    out: list[tuple[int, int]] = []
-    # blocks: runs of lines that are not blank
-    lines, at = [], 0
+    out: list[tuple[int, int, int]] = []
+    lines, at = [], 0  # runs of lines that are not blank
     for line in text.split("\n"):
-        lines.append((at, at + len(line), not line.strip()))
+        if line.strip():
+            lines.append((at, at + len(line)))
+        elif lines:
+            _paragraph(text, lines, out)
+            lines = []
         at += len(line) + 1
-    i, n = 0, len(lines)
-    while i < n:
-        if lines[i][2]:
-            i += 1
-            continue
-        j = i
-        while j < n and not lines[j][2]:
-            j += 1
-        _paragraph(text, lines[i:j], out)
-        i = j
+    if lines:
+        _paragraph(text, lines, out)
     return out
 
 
-def _whole(text, a, b, out):
+def _whole(text, a, b, out, level=0):
     while a < b and text[a].isspace():
         a += 1
     while b > a and text[b - 1].isspace():
         b -= 1
     if b > a:
-        out.append((a, b))
-
-
-def _wrapped(text, lines, marks) -> bool:
-    """Whether marked lines are one hard-wrapped paragraph rather than items of a list."""
-    if len(lines) < 2 or any(m is None for m in marks):
-        return False
-    bodies = [text[m.end() : e].strip() for m, (_, e, _) in zip(marks, lines)]
-    if sum(map(len, bodies)) / len(bodies) < 36:
-        return False
-    return any(a and b and a[-1] not in ".!?。！？…" and b[0].islower() for a, b in zip(bodies, bodies[1:]))
+        out.append((a, b, level))
+
+
+class _Wrapped:
+    """Whether the marked lines from a line on are one hard-wrapped paragraph rather than items of a list:
+    all are marked, long, and one runs on in lower case. Answered from sums over the lines behind."""
+
+    def __init__(self, text, lines, marks):
+        n = len(lines)
+        self.marked, self.size, self.runs = [True] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        after = ""
+        for i in range(n - 1, -1, -1):
+            body = text[marks[i].end() : lines[i][1]].strip() if marks[i] else ""
+            self.marked[i] = self.marked[i + 1] and marks[i] is not None
+            self.size[i] = self.size[i + 1] + len(body)
+            self.runs[i] = self.runs[i + 1] or bool(body and after and body[-1] not in ".!?。！？…" and after[0].islower())
+            after = body
+        self.n = n
+
+    def __call__(self, i) -> bool:
+        count = self.n - i
+        return count >= 2 and self.marked[i] and self.runs[i] and self.size[i] >= 36 * count
+
+
+class _Levels:
+    """The stack of open list levels: indentation and, for numbered ones, the last number. A mark deeper than
+    the innermost level opens one, a mark at less depth closes those inside; a number that neither opens a
+    list nor follows the last one of its level is no mark but text that a line break has moved there."""
+
+    def __init__(self):
+        self.stack: list[list] = []
+
+    def item(self, mark) -> bool:
+        raw = mark[0].expandtabs(4)
+        indent = len(raw) - len(raw.lstrip())
+        digits = _DIGITS.search(raw)
+        number = int(digits[0]) if digits else None
+        depth = len(self.stack)
+        while depth and self.stack[depth - 1][0] > indent:
+            depth -= 1
+        same = self.stack[depth - 1] if depth and self.stack[depth - 1][0] == indent else None
+        if number is not None and self.stack and number > 1 and not (same and same[1] is not None and number - same[1] in (0, 1)):
+            return False
+        del self.stack[depth:]
+        if same:
+            same[1] = number
+        else:
+            self.stack.append([indent, number])
+        return True
 
 
 def _paragraph(text: str, lines: list, out: list) -> None:
-    begin, end = lines[0][0], lines[-1][1]
-    head = _HEADING.match(text, begin, lines[0][1])
-    if head and not (len(lines) > 1 and text[lines[1][0] : lines[1][1]].lstrip().startswith("#")):
-        _whole(text, head.end(), lines[0][1], out)
-        if len(lines) > 1:
-            _paragraph(text, lines[1:], out)
-        return
-    if head and len(lines) > 1 and len(head[1]) > 1:  # headings one below another
-        _whole(text, head.end(), lines[0][1], out)
-        _paragraph(text, lines[1:], out)
-        return
-    marks = [_ITEM.match(text, a, b) for a, b, _ in lines]
-    if marks[0] and not _wrapped(text, lines, marks):
-        start = None
-        for (a, b, _), m in zip(lines, marks):
-            if m:
-                if start is not None:
-                    _whole(text, start, a, out)
-                start = m.end()
-        _whole(text, start, end, out)
-        return
-    quote = _QUOTE.match(text, begin, lines[0][1])
-    first = quote.end() if quote else begin
-    # a list that follows a line of prose without a blank line
-    for k in range(1, len(lines)):
-        before = text[lines[k - 1][0] : lines[k - 1][1]].rstrip()
-        number = marks[k] and re.search(r"\d+", marks[k][0])
-        opens = marks[k] and (not number or int(number[0]) <= 1)  # a wrapped "5." is no list
-        if opens and not quote and (before[-1:] in ":：" or len(lines) - k > 1 and all(marks[k:])) and not _wrapped(text, lines[k:], marks[k:]):
-            _block(text, first, lines[k - 1][1], out)
-            _paragraph(text, lines[k:], out)
+    """The sentences of a run of lines that are not blank: headings, then one list or one piece of prose,
+    in which a list may follow."""
+    n = len(lines)
+    marks = [_ITEM.match(text, a, b) for a, b in lines]
+    wrapped = _Wrapped(text, lines, marks)
+    i = 0
+    while i < n:
+        head = _HEADING.match(text, *lines[i])
+        below = i + 1 < n and text[lines[i + 1][0] : lines[i + 1][1]].lstrip().startswith("#")
+        if head and (not below or len(head[1]) > 1):
+            _whole(text, head.end(), lines[i][1], out)
+            i += 1
+        elif marks[i] and not wrapped(i):
+            _list(text, lines[i:], marks[i:], out)
             return
+        else:
+            i = _prose(text, lines, marks, wrapped, i, out)
+
+
+def _list(text, lines, marks, out) -> None:
+    levels, start, level = _Levels(), None, 0
+    for (a, _), m in zip(lines, marks):
+        if m and levels.item(m):
+            if start is not None:
+                _whole(text, start, a, out, level)
+            start, level = m.end(), len(levels.stack)
+    _whole(text, start, lines[-1][1], out, level)
+
+
+def _prose(text, lines, marks, wrapped, i, out) -> int:
+    """The sentences of the prose from line ``i`` on; gives the line at which a list goes on without a blank
+    line between, or the number of lines."""
+    n = len(lines)
+    quote = _QUOTE.match(text, *lines[i])
+    stop = n
+    for k in range(i + 1, n):
+        number = marks[k] and _DIGITS.search(marks[k][0])
+        opens = marks[k] and (not number or int(number[0]) <= 1)  # a wrapped "5." is no list
+        if opens and not quote and not wrapped(k):
+            before = text[lines[k - 1][0] : lines[k - 1][1]].rstrip()
+            if before[-1:] in ":：" or n - k > 1 and wrapped.marked[k]:
+                stop = k
+                break
     got: list = []
-    _block(text, first, end, got)
-    if quote and len(lines) > 1:  # a sentence that begins with a later line begins after its mark
-        begins = {a for a, _, _ in lines[1:]}
+    _block(text, quote.end() if quote else lines[i][0], lines[stop - 1][1], got)
+    if quote and n - i > 1:  # a sentence that begins with a later line begins after its mark
+        begins = {a for a, _ in lines[i + 1 :]}
         for a, b in got:
             m = _QUOTE.match(text, a, b) if a in begins or text[a - 1 : a] == "\n" else None
             _whole(text, m.end() if m else a, b, out)
     else:
-        out.extend(got)
+        out.extend((a, b, 0) for a, b in got)
+    return stop
 
 
 def split_sentences(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, sentence`` (from 1), ``start_pos, end_pos, text``: the sentences of every document in order.
+    """``key, sentence`` (from 1), ``start_pos, end_pos, level, text``: the sentences of every document in
+    order, with the level of the list that an item belongs to (0 outside lists).
     Rows with a null key are dropped; of rows that repeat key and text one is kept."""
     data = spread(documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")))
     kind = dict(data.dtypes)["key"]
@@ -344,13 +420,13 @@ def split_sentences(documents: DataFrame, key: str = "doc_id", text: str = "text
     def run(batches):
         for b in batches:
             rows = [
-                (k, n, s, e, t[s:e])
+                (k, n, s, e, level, t[s:e])
                 for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-                for n, (s, e) in enumerate(sentences(t), 1)
+                for n, (s, e, level) in enumerate(leveled(t), 1)
             ]
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            kinds = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["key", "sentence", "start_pos", "end_pos", "text"])
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            kinds = [b.schema.field(0).type, *[pa.int64()] * 4, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["key", "sentence", "start_pos", "end_pos", "level", "text"])
 
-    got = data.mapInArrow(run, f"key {kind}, sentence bigint, start_pos bigint, end_pos bigint, text string")
+    got = data.mapInArrow(run, f"key {kind}, sentence bigint, start_pos bigint, end_pos bigint, level bigint, text string")
     return got.dropDuplicates(["key", "start_pos", "end_pos"]).withColumnRenamed("key", key)

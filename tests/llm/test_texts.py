@@ -26,6 +26,22 @@ def test_sentences():
     assert sentences.sentences(None) == sentences.sentences(" \n ") == []
 
 
+def test_sentences_are_linear():
+    import time
+
+    start = time.time()
+    assert len(sentences.sentences("## x\n" * 10_000)) == len(sentences.sentences("- an item\n" * 10_000)) == 10_000
+    for text in ("(a " * 50_000, '"a ' * 50_000, "«a „b 3. c " * 30_000, "1. " * 50_000, "word\n1. an item that is rather long and wrapped\n" * 10_000, "x" * 500_000, "..." * 50_000):
+        assert sentences.sentences(text)
+    assert time.time() - start < 20
+
+
+def test_list_levels():
+    got = [(t[2], "1. a\n   - b\n     goes on\n   - c\n2. d\n7. no mark"[t[0] : t[1]]) for t in sentences.leveled("1. a\n   - b\n     goes on\n   - c\n2. d\n7. no mark")]
+    assert got == [(1, "a"), (2, "b\n     goes on"), (2, "c"), (1, "d\n7. no mark")]
+    assert sentences.leveled("Prose here. More.") == [(0, 11, 0), (12, 17, 0)]
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_sentence_spans_are_ordered(seed):
     random.seed(seed)
@@ -53,6 +69,27 @@ def test_pieces_cover_the_text(seed):
         at += len(line) + 1
 
 
+def test_pieces_are_linear_in_the_lines():
+    import time
+
+    start = time.time()
+    for text in ("\n".join(["value one two three"] * 100_000), "\n" * 100_000 + "x", "x" * 2_000_000, "\n".join(f"w{i} w{i // 3}" for i in range(100_000))):
+        got, _ = segment.pieces(text)
+        assert all(0 <= b - c <= 200 and d - c <= 2000 for (_, b), (c, d) in zip(got, got[1:]) if b > c)
+    assert time.time() - start < 20
+
+
+def test_pieces_end_at_the_deepest_valley():
+    first, second = ("red green blue yellow\n" * 30).strip(), ("iron copper zinc silver\n" * 90).strip()
+    got, _ = segment.pieces(first + "\n" + second)
+    assert got[0][1] == len(first)
+
+
+def test_pieces_overlap():
+    got, _ = segment.pieces("x" * 9000)
+    assert all(199 <= b - c <= 200 for (_, b), (c, _) in zip(got, got[1:]))
+
+
 def test_split_operator(spark):
     rows = [(1, "x " * 4000, 10, "e"), (1, "x " * 4000, 10, "e"), (2, "short\ntext", None, "e"), (3, None, 0, None), (None, "y " * 4000, 1, "e"), (4, "", 1, "e")]
     df = spark.createDataFrame(rows, "chunk_id long, text string, start_line int, piece string")
