@@ -151,6 +151,26 @@ def test_leaks(spark):
     got = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(d, e).collect()}
     assert got == {(k, i) for k in (1, 2, 3, 4, 6, 11) for i in (1, 5)} | {(9, 2)}
     assert leakage.leaks(d.limit(0), e).count() == 0 and leakage.leaks(d, e.limit(0)).count() == 0
+    assert {(r["doc_id"], r["item_id"]) for r in leakage.leaks(d, e, block=500).collect()} == got  # one item a block
+
+
+def test_leaks_in_other_words(spark):
+    words = ITEM.split()
+    changed = " ".join(w for i, w in enumerate(words) if i % 9 != 5)  # no twelve words in a row are left
+    d = spark.createDataFrame([(1, changed), (2, " ".join(reversed(words)))], "doc_id long, text string")
+    got = leakage.leaks(d, spark.createDataFrame([(1, "en", ITEM)], "item_id long, lang string, text string")).collect()
+    assert [(r["doc_id"], r["kind"]) for r in got] == [(1, "paraphrase")] and got[0]["common"] >= 12
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_lcs(seed):
+    random.seed(seed)
+    a, b = (random.choices("abcd", k=random.randint(0, 40)) for _ in range(2))
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            table[i][j] = table[i - 1][j - 1] + 1 if x == y else max(table[i - 1][j], table[i][j - 1])
+    assert leakage.lcs(a, b) == table[-1][-1]
 
 
 def test_leak_search_finds_what_brute_force_finds(spark):
