@@ -1,7 +1,7 @@
 """Evaluation texts leaking into training text, by latent semantic retrieval and exact checks.
 
 Held-out items are cut into overlapping passages, TF-IDF vectors of character shingles weighted by their
-frequency in all documents. A randomised SVD, computed over distributed rows so that only small square
+frequency in all documents and in all passages. A randomised SVD, computed over distributed rows so that only small square
 matrices reach the driver, gives a latent space of far fewer dimensions than there are passages. Their
 places in it are indexed by the nearest of a few centres. Documents are read in windows; a window that has
 enough of the passages' shingles is projected into the space, looks up the passages of its nearest centres
@@ -116,8 +116,12 @@ class Item:
         self.han = (lang or "").lower().startswith("zh") or han * 2 > len(self.chars)
         if self.han:
             self.needles = [self.chars[i : i + min_chars] for i in range(len(self.chars) - min_chars + 1)]
+            ends, step = range(len(self.chars) + 1), (min_chars + 1) // 2
         else:
             self.needles = [self.chars[self.at[i] : self.at[i + min_words]] for i in range(len(self.at) - min_words)]
+            ends, step = self.at, (min_words + 1) // 2
+        # every stretch holds one of these pieces, which follow one another
+        self.seeds = [self.chars[ends[i] : ends[i + step]] for i in range(0, len(ends) - step, step)]
         sentences = [x for x in re.split(r"(?<=[.!?])\s+|(?<=[。！？])|[:：]\s*", text or "") if x.strip()]
         self.last = stream(sentences[-1])[0] if sentences else ""
         self.least = min(map(self.weight, self.needles), default=0)
@@ -128,6 +132,8 @@ class Item:
 
     def found(self, chars: str, starts: np.ndarray) -> bool:
         """Whether a stretch of the item stands in the text; words at its ends must be whole words there."""
+        if not any(seed in chars for seed in self.seeds):
+            return False
         for needle in self.needles:
             at = chars.find(needle)
             while at >= 0:
@@ -338,10 +344,10 @@ def leaks(
     item_lang: str = "lang",
     min_words: int = 12,
     min_chars: int = 24,
-    rank: int = 64,
+    rank: int = 128,
     window: int = 160,
-    cosine: float = 0.4,
-    probes: int = 12,
+    cosine: float = 0.55,
+    probes: int = 16,
     share: float = 0.8,
     block: int = 200_000,
 ) -> DataFrame:
@@ -419,7 +425,8 @@ def _search(documents, held, key, text, key_kind, item_kind, min_words, min_char
             total = r["n"]
         else:
             df[r["feature"]] = r["n"]
-    idf = np.log((1 + total) / (1 + df)) + 0.1
+    within = np.bincount(np.concatenate(at), minlength=len(vocab))  # passages that hold a shingle
+    idf = (np.log((1 + total) / (1 + df)) + 0.1) * (np.log((1 + len(cells)) / (1 + within)) + 0.1)
     weights = [n * idf[f] for f, (_, _, n) in zip(at, cells)]
     matrix = spark.createDataFrame(
         [(i, f.tolist(), (w / max(np.sqrt((w**2).sum()), 1e-12)).tolist()) for i, (f, w) in enumerate(zip(at, weights))], "id bigint, features array<bigint>, weights array<double>"
