@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Ranges of ideographs, kana and hangul that count as CJK.
 CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{AC00}-\x{D7AF}]"
 
@@ -47,27 +52,101 @@ def keyword_tokens(text: Column) -> Column:
     return F.aggregate(parts, F.expr("array()").cast("array<string>"), add)
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, term, tf``; repeated keys are indexed once."""
-    tokens = docs.select(F.col(key).alias("key"), F.explode(words(F.col(text))).alias("term"))
-    return tokens.groupBy("key", "term").agg(F.count("*").alias("tf"))
-
-
-def bm25(docs: DataFrame, query: list[str], key: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> DataFrame:
-    """``key, score`` of the documents with a positive score; repeated query tokens add. Idf below zero
-    becomes ``eps`` times the mean idf over all terms. Statistics cover all documents; only postings of
-    query terms are scored."""
-    tf = postings(docs, key, text)
-    length = tf.groupBy("key").agg(F.sum("tf").alias("dl"))
-    corpus = docs.agg(F.count_distinct(key).alias("n")).crossJoin(length.agg(F.sum("dl").alias("total")))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = df.crossJoin(F.broadcast(corpus)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = scored.agg(F.avg("raw").alias("mean"))
-    terms = docs.sparkSession.createDataFrame([(t.lower(), query.count(t)) for t in dict.fromkeys(query)], "term string, times int")
-    wanted = scored.join(F.broadcast(terms), "term").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, eps * F.col("mean")).otherwise(F.col("raw")))
-    hits = tf.join(F.broadcast(wanted.select("term", "times", "idf", "n", "total")), "term").join(length, "key")
+_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+_CJK = re.compile(r"[\u4e00-\u9fff\u3400-\u4dbf\uf900-\ufaff\u3040-\u309f\u30a0-\u30ff\uac00-\ud7af]")
+
+
+def token_counts(text: str) -> tuple[Counter, int]:
+    """The search tokens of a lower-cased text with their counts, and how many there are: a CJK part as its
+    pairs of characters, another as itself and its parts at ``_`` and ``-`` that are not in the list yet."""
+    out: Counter = Counter()
+    for part in _SPACE.split(text):
+        if not part:
+            continue
+        if _CJK.search(part):
+            out.update([part] if len(part) <= 2 else [part[i : i + 2] for i in range(len(part) - 1)])
+            continue
+        out[part] += 1
+        if "_" in part or "-" in part:
+            for sub in part.replace("-", "_").split("_"):
+                if len(sub) >= 2 and sub not in out:
+                    out[sub] = 1
+    return out, sum(out.values())
+
+
+@dataclass
+class Index:
+    """A keyword index: ``postings`` (``key, term, tf, dl``), ``terms`` (``term, df``) and one row of
+    ``corpus`` (``n`` documents, ``total`` tokens, ``mean`` idf of all terms)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    corpus: DataFrame
+    key: str
+
+
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", keep=cut) -> Index:
+    """Tokens are counted within each document, so that only its distinct terms are shuffled, by term and key:
+    a frequent term is no single task. Repeated keys are indexed once; null texts have no tokens. ``keep``
+    stores a table that several others are made from."""
+    data = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+
+    def run(batches):
+        for b in batches:
+            keys, terms, tfs, dls = [], [], [], []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                counts, size = token_counts(t)
+                counts[None] = 0  # the document itself
+                keys.extend([k] * len(counts))
+                dls.extend([size] * len(counts))
+                terms.extend(counts.keys())
+                tfs.extend(counts.values())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(dls, pa.int64())], ["key", "term", "tf", "dl"])
+
+    every = keep(data.mapInArrow(run, f"key {dict(data.dtypes)['key']}, term string, tf bigint, dl bigint").dropDuplicates(["term", "key"]))
+    terms = every.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
+    size = every.where("term IS NULL").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
+    corpus = terms.crossJoin(F.broadcast(size)).agg(F.max("n").alias("n"), F.max("total").alias("total"), F.avg(_idf()).alias("mean"))  # one row on the right
+    return Index(every.where("term IS NOT NULL"), terms, corpus, key)
+
+
+def _idf() -> Column:
+    return F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def save_index(index: Index, folder: str, buckets: int = 64, salts: int = 16) -> None:
+    """Writes an index; postings lie in folders by bucket of their term, so a query reads only its own."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    spread_ = index.postings.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(salts)))
+    spread_.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    index.terms.write.mode("overwrite").parquet(f"{folder}/terms")
+    index.corpus.select("*", F.lit(index.key).alias("key"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{folder}/corpus")
+
+
+def load_index(spark: SparkSession, folder: str) -> Index:
+    corpus = spark.read.parquet(f"{folder}/corpus")
+    row = corpus.first()
+    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/terms"), corpus.select("n", "total", "mean"), row["key"])
+
+
+def bm25(index: Index, query: list[str], k1: float = 1.5, b: float = 0.75, eps: float = 0.25, buckets: int = 64) -> DataFrame:
+    """``key, score`` of the documents with a positive score; the query is tokenized like the documents and
+    repeated tokens add. Idf below zero becomes ``eps`` times the mean idf over all terms. Statistics cover
+    all documents; only postings of query terms are read."""
+    spark = index.postings.sparkSession
+    times: Counter = Counter()
+    for q in query:
+        times.update(token_counts(q.lower())[0])
+    terms = spark.createDataFrame(list(times.items()), "term string, times bigint")
+    wanted = index.terms.join(F.broadcast(terms), "term").crossJoin(F.broadcast(index.corpus))  # as long as the query
+    wanted = wanted.withColumn("idf", F.when(_idf() < 0, eps * F.col("mean")).otherwise(_idf())).select("term", "times", "idf", "n", "total")
+    rows = index.postings.where(F.col("term").isin(list(times)))
+    if "bucket" in rows.columns:
+        at = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()]
+        rows = rows.where(F.col("bucket").isin(at))
+    hits = rows.join(F.broadcast(wanted), "term")
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / (F.col("total") / F.col("n")))
-    return hits.groupBy("key").agg(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("score")).where("score > 0").withColumnRenamed("key", key)
+    return hits.groupBy("key").agg(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("score")).where("score > 0").withColumnRenamed("key", index.key)
 
 
 def _double(v: Column) -> Column:
@@ -181,6 +260,14 @@ def overlap_score(text: Column, query: list[str]) -> Column:
     return F.size(F.array_intersect(words(text), q)) / F.size(q)
 
 
+def rerank(candidates: DataFrame, texts: DataFrame, key: str, text: str, query: list[str], k: int = 5, scorer: Callable[[Column, list[str]], Column] = overlap_score) -> DataFrame:
+    """The k best of a bounded list of candidates by a scorer of (text, query), which a caller can replace by
+    a model in an Arrow UDF; a candidate without a text scores 0; ties go to the smaller key."""
+    found = texts.join(F.broadcast(candidates.select(key)), key).groupBy(key).agg(F.max(text).alias(text))
+    scored = candidates.select(key).join(found, key, "left").select(key, F.coalesce(scorer(F.col(text), query), F.lit(0.0)).alias("score"))
+    return scored.orderBy(F.desc("score"), key).limit(k)
+
+
 def hashing_embedder(texts: DataFrame, key: str, text: str, width: int = 64) -> DataFrame:
     """Deterministic stand-in for an embedding service: signed hashed words, normalised."""
 
@@ -213,6 +300,62 @@ def line_slice(text: Column, first: Column, last: Column) -> Column:
 
 def truncate_utf8(text: Column, limit: int, notice: str = "\n... (truncated)") -> Column:
     """At most ``limit`` UTF-8 bytes, cut between characters, with a notice where something was cut."""
-    cut = F.decode(F.substring(F.encode(text, "UTF-8"), 1, limit), "UTF-8")
-    clean = F.regexp_replace(cut, "\ufffd+$", "")
-    return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(clean, F.lit(notice)))
+    raw = F.encode(text, "UTF-8")
+    inside = lambda i: F.substring(F.hex(F.substring(raw, i, 1)), 1, 1).isin("8", "9", "A", "B")
+    # the byte after the cut begins a character, or the cut goes back before the one that it would split
+    end = F.when(~inside(limit + 1), limit).when(~inside(limit), limit - 1).when(~inside(limit - 1), limit - 2).otherwise(limit - 3)
+    whole = raw.substr(F.lit(1), F.greatest(end, F.lit(0))).cast("string")
+    return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(whole, F.lit(notice)))
+
+
+#: Where a text of a language is cut first, next, and so on.
+SEPARATORS = {
+    "python": ["\nclass ", "\ndef ", "\n\tdef ", "\n\n", "\n", " ", ""],
+    "javascript": ["\nfunction ", "\nconst ", "\nlet ", "\nvar ", "\nclass ", "\nif ", "\nfor ", "\nwhile ", "\nswitch ", "\ncase ", "\ndefault ", "\n\n", "\n", " ", ""],
+    "typescript": ["\nenum ", "\ninterface ", "\nnamespace ", "\ntype ", "\nclass ", "\nfunction ", "\nconst ", "\nlet ", "\nvar ", "\nif ", "\nfor ", "\nwhile ", "\nswitch ", "\ncase ", "\ndefault ", "\n\n", "\n", " ", ""],
+    "": ["\n\n", "\n", " ", ""],
+}
+
+
+def split_recursively(text: str, separators: list[str], size: int = 2000, overlap: int = 200) -> list[str]:
+    """Pieces of at most ``size`` characters: cut at the first separator that occurs, parts still too long at
+    the next ones, short parts joined again; a piece begins with the last parts of the one before, up to
+    ``overlap`` characters of them."""
+    parts, todo = [], [(text, 0)]
+    while todo:
+        t, level = todo.pop()
+        if len(t) <= size or level >= len(separators):
+            parts.append(t)
+            continue
+        sep = separators[level]
+        cells = [t[i : i + size - overlap] for i in range(0, len(t), size - overlap)] if not sep else t.split(sep)
+        if sep:
+            cells = [cells[0], *[sep + c for c in cells[1:]]]
+        todo.extend((c, level + 1) for c in reversed(cells) if c)
+    out, held, n = [], [], 0
+    for p in parts:
+        if held and n + len(p) > size:
+            out.append("".join(held))
+            while held and (n > overlap or n + len(p) > size):
+                n -= len(held.pop(0))
+        held.append(p)
+        n += len(p)
+    return [*out, "".join(held)] if held else out
+
+
+def fine_split(chunks: DataFrame, key: str = "chunk_id", max_bytes: int = 6000, size: int = 2000, overlap: int = 200) -> DataFrame:
+    """``key, piece`` (from 1), ``pieces, title, text``: chunks of more than ``max_bytes`` UTF-8 bytes cut by
+    the separators of their language; titles of pieces end in `` [i/n]``. Of repeated keys one is kept."""
+    long = chunks.where((F.octet_length("text") > max_bytes) & F.col(key).isNotNull()).select(F.col(key).alias("key"), "title", F.lower("language").alias("language"), "text")
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for k, title, language, text in zip(*(c.to_pylist() for c in b.columns)):
+                got = split_recursively(text, SEPARATORS.get(language or "", SEPARATORS[""]), size, overlap)
+                rows.extend((k, i, len(got), f"{title or ''} [{i}/{len(got)}]", t) for i, t in enumerate(got, 1))
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (b.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.string()))], ["key", "piece", "pieces", "title", "text"])
+
+    got = long.mapInArrow(run, f"key {dict(chunks.dtypes)[key]}, piece bigint, pieces bigint, title string, text string")
+    return got.dropDuplicates(["key", "piece"]).withColumnRenamed("key", key)

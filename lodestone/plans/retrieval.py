@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
-from ..session import table
+from ..session import checkpoint_dir, table
 from .catalog import query
 
 TERMS = ["the", "cache", "module", "session", "index", "the"]
@@ -16,9 +18,14 @@ def token_count(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(R.words(F.col("text"))).cast("bigint").alias("n"))
 
 
-@query("SELECT DISTINCT repo, CASE WHEN length(repo) <= 2 THEN repo ELSE substr(repo, CAST(i AS INTEGER), 2) END AS gram FROM repos, (SELECT unnest(range(1, 60)) AS i) WHERE i <= greatest(length(repo) - 1, 1)")
+@query(
+    """WITH p AS (SELECT DISTINCT unnest(list_filter(string_split_regex(text, '\\s+'), lambda w: regexp_matches(w, '[一-鿿㐀-䶿豈-﫿぀-ゟ゠-ヿ가-힯]'))) AS part FROM documents)
+    SELECT DISTINCT md5(part) AS hash, unnest(CASE WHEN length(part) <= 2 THEN [part] ELSE list_transform(range(1, length(part)), lambda i: substr(part, CAST(i AS INTEGER), 2)) END) AS gram FROM p"""
+)
 def cjk_bigrams(spark, d):
-    return table(spark, d, "repos").select("repo", F.explode(R.bigrams(F.col("repo"))).alias("gram")).distinct()
+    """The pairs of characters of every part of a text that holds CJK."""
+    p = table(spark, d, "documents").select(F.explode(F.filter(F.split("text", r"\s+"), R.has_cjk)).alias("part")).distinct()
+    return p.select(F.md5("part").alias("hash"), F.explode(R.bigrams(F.col("part"))).alias("gram")).distinct()
 
 
 @query("SELECT doc_id, coalesce(regexp_matches(text, '[一-鿿㐀-䶿豈-﫿぀-ゟ゠-ヿ가-힯]'), false) AS cjk FROM documents")
@@ -36,9 +43,13 @@ def identifier_split(spark, d):
     return names.select("name", F.explode(R.identifier_parts(F.col("name"))).alias("part")).distinct()
 
 
-_BM25 = """
- tok AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '')) AS term FROM documents),
- tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY 1),
+_CJK = "[一-鿿㐀-䶿豈-﫿぀-ゟ゠-ヿ가-힯]"
+_TOKENS = f"""
+ pa AS (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS pos FROM (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '') AS ps FROM documents)),
+ tok AS (SELECT doc_id, pos, true AS whole, unnest(CASE WHEN length(p) > 2 AND regexp_matches(p, '{_CJK}') THEN list_transform(range(1, length(p)), lambda i: substr(p, CAST(i AS INTEGER), 2)) ELSE [p] END) AS term FROM pa
+   UNION ALL SELECT doc_id, pos, false, unnest(list_filter(string_split(translate(p, '-', '_'), '_'), lambda w: length(w) >= 2)) FROM pa WHERE NOT regexp_matches(p, '{_CJK}')),
+ tf AS (SELECT * FROM (SELECT doc_id, term, count(*) FILTER (whole) + CAST(coalesce(min(pos) FILTER (NOT whole) < coalesce(min(pos) FILTER (whole), 1000000000), false) AS BIGINT) AS tf FROM tok GROUP BY ALL) WHERE tf > 0)"""
+_BM25 = f"""{_TOKENS}, dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY 1),
  c AS (SELECT (SELECT count(DISTINCT doc_id) FROM documents) AS n, (SELECT sum(dl) FROM dl) AS total),
  i AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, c GROUP BY term, n),
  q AS (SELECT unnest(['the', 'cache', 'module', 'session', 'index', 'the']) AS term),
@@ -47,9 +58,21 @@ _BM25 = """
 """
 
 
+@query(f"WITH {_TOKENS} SELECT doc_id, term, tf FROM tf")
+def keyword_index(spark, d):
+    return R.build_index(table(spark, d, "documents"), keep=lambda df: df).postings.select(F.col("key").alias("doc_id"), "term", "tf")
+
+
+def _index(spark, d):
+    """The index, written to the shared folder and read again, as a service would keep it."""
+    folder = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    R.save_index(R.build_index(table(spark, d, "documents")), folder)
+    return R.load_index(spark, folder)
+
+
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 4) AS score FROM bm WHERE score > 0 ORDER BY bm.score DESC, doc_id LIMIT 20")
 def bm25_topk(spark, d):
-    got = R.bm25(table(spark, d, "documents"), TERMS)
+    got = R.bm25(_index(spark, d), TERMS)
     return got.orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", F.round("score", 4).alias("score"))
 
 
@@ -96,7 +119,7 @@ _FUSED = f"""WITH {_BM25}, b AS (SELECT doc_id, row_number() OVER (ORDER BY scor
 def _fused(spark, d):
     e = table(spark, d, "embeddings")
     dense = _one(e, 0).where(R.usable(F.col("embedding"))).select(F.col("vec_id").alias("doc_id"), R.cosine(F.col("embedding"), F.col("q")).alias("score"))
-    return R.rrf([R.top(R.bm25(table(spark, d, "documents"), TERMS), "doc_id"), R.top(dense, "doc_id")], "doc_id")
+    return R.rrf([R.top(R.bm25(R.build_index(table(spark, d, "documents")), TERMS), "doc_id"), R.top(dense, "doc_id")], "doc_id")
 
 
 @query(f"{_FUSED} SELECT doc_id, round(score, 6) AS score FROM f")
@@ -104,21 +127,40 @@ def rrf_fuse(spark, d):
     return _fused(spark, d).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"{_FUSED} SELECT doc_id, round(score, 4) AS score FROM f ORDER BY f.score DESC, doc_id LIMIT 5")
+_OVERLAP = """coalesce(len(list_intersect(list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda w: w <> ''), ['the', 'cache', 'module', 'session', 'index'])) / 5.0::DOUBLE, 0)"""
+
+
+@query(
+    f"""{_FUSED}, t AS (SELECT doc_id FROM f ORDER BY score DESC, doc_id LIMIT 20), s AS (SELECT t.doc_id, {_OVERLAP} AS score FROM t LEFT JOIN documents USING (doc_id))
+    SELECT doc_id, round(score, 4) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 5"""
+)
 def hybrid_search(spark, d):
-    return _fused(spark, d).orderBy(F.desc("score"), "doc_id").limit(5).select("doc_id", F.round("score", 4).alias("score"))
+    """Keywords and vectors, fused by rank, the first 20 reranked, the first 5 of these."""
+    first = _fused(spark, d).orderBy(F.desc("score"), "doc_id").limit(20)
+    return R.rerank(first, table(spark, d, "documents"), "doc_id", "text", TERMS).withColumn("score", F.round("score", 4))
 
 
 @query(
     f"""WITH {_BM25}, b AS (SELECT doc_id, score FROM bm WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20),
-    s AS (SELECT b.doc_id, len(list_intersect(list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda w: w <> ''), ['the', 'cache', 'module', 'session', 'index'])) / 5.0::DOUBLE AS score
-          FROM b JOIN documents USING (doc_id)) SELECT doc_id, round(score, 4) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 5"""
+    s AS (SELECT b.doc_id, {_OVERLAP} AS score FROM b JOIN documents USING (doc_id)) SELECT doc_id, round(score, 4) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 5"""
 )
 def rerank_overlap(spark, d):
     docs = table(spark, d, "documents")
-    first = R.bm25(docs, TERMS).orderBy(F.desc("score"), "doc_id").limit(20)
-    s = docs.join(F.broadcast(first.select("doc_id")), "doc_id").select("doc_id", R.overlap_score(F.col("text"), TERMS).alias("score"))
-    return s.orderBy(F.desc("score"), "doc_id").limit(5).select("doc_id", F.round("score", 4).alias("score"))
+    first = R.bm25(R.build_index(docs), TERMS).orderBy(F.desc("score"), "doc_id").limit(20)
+    return R.rerank(first, docs, "doc_id", "text", TERMS).withColumn("score", F.round("score", 4))
+
+
+@query(
+    """SELECT vec_id, round(list_distance(embedding::DOUBLE[], q::DOUBLE[]), 6) AS distance FROM embeddings, (SELECT embedding AS q, label AS l FROM embeddings WHERE vec_id = 0)
+       WHERE label = l ORDER BY list_distance(embedding::DOUBLE[], q::DOUBLE[]), vec_id LIMIT 20"""
+)
+def dense_l2_filtered(spark, d):
+    """The nearest vectors among those with the query's label."""
+    e = table(spark, d, "embeddings")
+    same = e.join(F.broadcast(e.where("vec_id = 0").select("label").limit(1)), "label", "left_semi")
+    q = F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1))
+    s = same.crossJoin(q).select("vec_id", R.l2(F.col("embedding"), F.col("q")).alias("distance"))
+    return s.orderBy("distance", "vec_id").limit(20).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
 @query()
@@ -153,11 +195,25 @@ def utf8_len(spark, d):
     return table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("bytes"))
 
 
-@query()
+@query(
+    """SELECT doc_id, CASE WHEN text IS NULL OR strlen(text) <= 2000 THEN text ELSE substr(text, 1, list_max(list_filter(range(500, 2001), lambda k: strlen(substr(text, 1, k)) <= 2000))) || chr(10) || '... (truncated)' END AS part FROM documents"""
+)
 def truncate_utf8(spark, d):
     return table(spark, d, "documents").select("doc_id", R.truncate_utf8(F.col("text"), 2000).alias("part"))
 
 
+@query(
+    """SELECT chunk_id, true AS short_enough, true AS complete FROM chunks WHERE strlen(text) > 6000 GROUP BY chunk_id"""
+)
+def fine_split(spark, d):
+    """What the pieces of every long chunk must be: at most 2,000 characters, and together all its words."""
+    c = table(spark, d, "chunks").where(F.octet_length("text") > 6000)
+    whole = c.groupBy("chunk_id").agg(F.first("text").alias("whole"))
+    squeeze = lambda x: F.regexp_replace(x, r"\s+", "")
+    got = R.fine_split(c).groupBy("chunk_id").agg(F.max(F.length("text")).alias("most"), F.sum(F.length(squeeze(F.col("text")))).alias("sum"), F.min(F.col("title").rlike(r" \[\d+/\d+\]$")).alias("titled"))
+    return got.join(whole, "chunk_id").select("chunk_id", ((F.col("most") <= 2000) & F.col("titled")).alias("short_enough"), (F.col("sum") >= F.length(squeeze(F.col("whole")))).alias("complete"))
+
+
 @query("SELECT path, md5(content) AS hash FROM (SELECT DISTINCT path, content FROM source_files)")
 def hash_md5(spark, d):
     return table(spark, d, "source_files").select("path", F.md5("content").alias("hash")).distinct()

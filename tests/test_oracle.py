@@ -1,11 +1,13 @@
-"""Every query with SQL gives the SQL's rows; every other query runs and has a stable schema."""
+"""Every query with SQL gives the SQL's rows; every other query gives rows of a stable schema."""
 
 import oracle
 import pytest
 
 from lodestone.plans import catalog, register  # noqa: F401
 
-D = "/root/testdata/sf0.001"
+D = "/root/testdata/sf0.01"
+#: Queries whose tables hold no such case; tests over small tables cover them.
+NO_ROWS = {"orm_parse", "ddl_parse"}
 
 
 @pytest.fixture(scope="module")
@@ -16,10 +18,11 @@ def con():
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_sql(spark, con, name):
     got, want, _, _ = oracle.compare(spark, con, catalog.QUERIES[name], catalog.SQL[name], D)
-    assert got == want
+    assert got == want and got
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_runs(spark, name):
     df = catalog.QUERIES[name](spark, D)
-    assert df.count() >= 0 and len(set(df.columns)) == len(df.columns)
+    rows = df.collect()  # all columns are evaluated
+    assert (rows or name in NO_ROWS) and len(set(df.columns)) == len(df.columns)
