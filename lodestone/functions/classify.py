@@ -8,7 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Layers of the graph view, by prefix of the path.
-GRAPH_LAYERS = [("routes/", "routes"), ("services/", "services"), ("models/", "models"), ("src/", "frontend"), ("*frontend", "frontend"), ("config", "config"), ("main", "config")]
+GRAPH_LAYERS = [("routes/", "routes"), ("services/", "services"), ("models/", "models"), ("src/", "frontend"), ("config", "config"), ("main", "config")]
+#: A part of a path that makes it frontend if no rule before ``config`` does.
+GRAPH_FRONTEND = "frontend"
 #: Layers of the guide.
 GUIDE_LAYERS = [
     ("接口层", ["routes/", "routers/", "controllers/", "views/"]),
@@ -54,6 +56,13 @@ INFRA_DIRS = [".github/workflows/", ".github/actions/", "deploy/", "deployment/"
 ENTRY_NAMES = ["main.py", "app.py", "index.py", "manage.py", "run.py", "server.py"]
 
 
+#: Names, folders that are no entries, frameworks and points of the tour's entries.
+TOUR_NAMES = ["main.py", "app.py", "index.py", "manage.py", "run.py", "server.py", "__init__.py"]
+TOUR_NOT = ["alembic/", "migrations/", "tests/", "test/"]
+TOUR_FRAMEWORKS = ["fastapi", "flask", "django", "express", "next"]
+TOUR_POINTS = {"name": 5, "package": 2, "not imported": 1, "framework": 3}
+
+
 def slashes(path: Column) -> Column:
     return F.translate(path, "\\", "/")
 
@@ -81,7 +90,8 @@ def _prefixes(prefixes):
 
 
 def graph_layer(path: Column) -> Column:
-    rules = [((lambda p, x=x: F.lower(p).contains(x[1:])) if x[0] == "*" else (lambda p, x=x: p.startswith(x)), y) for x, y in GRAPH_LAYERS]
+    rules: list = [(_prefixes([x]), y) for x, y in GRAPH_LAYERS]
+    rules.insert(4, (lambda p: F.lower(p).contains(GRAPH_FRONTEND), "frontend"))
     return _first(slashes(path), rules, "other")
 
 
@@ -146,3 +156,19 @@ def entry_score(path: Column, imported: Column, external: Column) -> Column:
         + one(low.contains("fastapi") | low.contains("flask"), 2)
         + one(_prefixes(["backend/", "src/"])(p) & (p.endswith("/__init__.py") | p.endswith("/main.py") | p.endswith("/app.py")), 1)
     ).cast("bigint")
+
+
+def tour_score(path: Column, imported: Column, external: Column) -> Column:
+    """Points for being a place to start a tour: an entry's name at the top, a package outside tests, imported
+    by nobody, a framework among the imports."""
+    p, used = F.lower(slashes(path)), F.lower(F.concat_ws(",", external))
+    framework = F.lit(False)
+    for name in TOUR_FRAMEWORKS:
+        framework = framework | used.contains(name)
+    rules = {
+        "name": p.isin(TOUR_NAMES),
+        "package": p.endswith("/__init__.py") & ~_prefixes(["tests/", "test/"])(p),
+        "not imported": ~imported & ~_prefixes(TOUR_NOT)(p),
+        "framework": framework,
+    }
+    return sum((F.when(F.coalesce(rules[k], F.lit(False)), n).otherwise(0) for k, n in TOUR_POINTS.items()), F.lit(0)).cast("bigint")

@@ -126,21 +126,63 @@ def components(e: DataFrame) -> DataFrame:
             return label.select(F.col("a").alias("node"), F.col("l").alias("component"))
 
 
+def strong_components(e: DataFrame) -> DataFrame:
+    """``node, component``: its strongly connected component, named by its smallest node. In each round
+    every node takes the smallest name of those that reach it; what such a name's node can be reached from,
+    within the nodes of that name, is one component and leaves the graph."""
+    left, out = cut(e.where("src <> dst")), None
+    rest = cut(nodes(e))
+    while True:
+        label = rest.withColumn("l", F.col("node"))
+        while True:
+            got = left.join(label, left.src == label.node).groupBy(F.col("dst").alias("node")).agg(F.min("l").alias("m"))
+            new = cut(label.join(got, "node", "left").select("node", F.least("l", F.coalesce("m", "l")).alias("l")))
+            done = new.join(label.withColumnRenamed("l", "old"), "node").where("l <> old").isEmpty()
+            label = new
+            if done:
+                break
+        inside = left.join(label.select(F.col("node").alias("src"), F.col("l").alias("a")), "src").join(label.select(F.col("node").alias("dst"), F.col("l").alias("b")), "dst").where("a = b").select("src", "dst")
+        members = reach(cut(inside), label.where("node = l").select("node"), None, reverse=True).select("node")
+        found = cut(label.join(members, "node", "left_semi").select("node", F.col("l").alias("component")))
+        out = found if out is None else out.union(found)
+        rest = cut(rest.join(found, "node", "left_anti"))
+        if rest.isEmpty():
+            return out
+        left = cut(left.join(rest.withColumnRenamed("node", "src"), "src", "left_semi").join(rest.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+
+
 def longest_chain(e: DataFrame) -> DataFrame:
-    """``node, depth``: edges on the longest chain that ends in each node of an acyclic graph. Callers
-    must give a DAG; on a cycle it stops after as many rounds as there are nodes."""
-    acyclic = cut(e.where("src <> dst"))
-    depth = nodes(e).withColumn("depth", F.lit(0).cast("bigint"))
-    front = depth
-    out = depth
-    n, d = depth.count(), 0
-    while d <= n:
-        d += 1
-        front = cut(front.join(acyclic, front.node == acyclic.src).select(F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(d).cast("bigint")))
-        if front.isEmpty():
+    """``node, depth``: edges on the longest chain that ends in each node. Nodes are taken off the graph as
+    soon as all before them have been; where cycles stop that, chains are those of the graph in which each
+    strongly connected component is one node, so a cycle adds nothing."""
+    every = cut(nodes(e))
+    links = cut(e.where("src <> dst"))
+    out, left, d = None, every, 0
+    while True:
+        waiting = links.select(F.col("dst").alias("node")).distinct()
+        free = cut(left.join(waiting, "node", "left_anti").withColumn("depth", F.lit(d).cast("bigint")))
+        if free.isEmpty():
             break
-        out = out.union(front)
-    return out.groupBy("node").agg(F.max("depth").alias("depth"))
+        out = free if out is None else out.union(free)
+        left = cut(left.join(free, "node", "left_anti"))
+        links = cut(links.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
+        d += 1
+    if left.isEmpty():
+        return out
+    part = cut(strong_components(e))
+    named = e.join(part.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(part.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
+    condensed = named.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    deep = longest_chain(condensed).withColumnRenamed("node", "component")
+    return part.join(deep, "component").select("node", "depth")
+
+
+def subgraph(e: DataFrame, seeds: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Nodes (``node, depth``) within ``depth`` steps of any seed in either direction, and the edges among
+    them, each once."""
+    both = e.union(e.select("dst", "src")).distinct()
+    near = reach(both, seeds, depth)
+    ids = near.select("node")
+    return near, e.join(ids.withColumnRenamed("node", "src"), "src", "left_semi").join(ids.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst").distinct()
 
 
 def tour(e: DataFrame, entries: DataFrame, steps: int = 15, depth: int = 8) -> DataFrame:
@@ -153,6 +195,12 @@ def tour(e: DataFrame, entries: DataFrame, steps: int = 15, depth: int = 8) -> D
     return best.withColumn("step", F.row_number().over(Window.orderBy("depth", F.desc("fan_in"), F.desc("node"))).cast("bigint"))
 
 
+def coverage_rate(e: DataFrame, is_test) -> DataFrame:
+    """One row: ``covered`` production nodes, all ``production`` nodes, and their ``rate``."""
+    own = nodes(e).where(~is_test(F.col("node"))).agg(F.count("*").alias("production"))
+    return coverage(e, is_test).agg(F.count("*").alias("covered")).crossJoin(own).withColumn("rate", F.round(F.col("covered") / F.col("production"), 3))
+
+
 def merge_relations(labelled: DataFrame) -> DataFrame:
     """One row per pair with its distinct relations in order, joined by ``+``."""
     return labelled.groupBy("src", "dst").agg(F.concat_ws("+", F.array_sort(F.collect_set("relation"))).alias("relation"))

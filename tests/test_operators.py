@@ -164,3 +164,44 @@ def test_control_flow_graph():
         "try:\n  return x()\nexcept E:\n  pass\na = 1", "with x:\n  return 1\na = 1", "try:\n  raise E\nexcept E:\n  a = 1\nfinally:\n  y()\nb = 1", "while x:\n  try:\n    break\n  finally:\n    y()\nelse:\n  a = 1\nb = 1",
         "match x:\n  case 1:\n    return 1\na = 1", "for i in x:\n  try:\n    continue\n  except E:\n    return 1\nb = 1", "try:\n  a = 1\nexcept E:\n  raise\nelse:\n  b = 1\nc = 1",
     )] == [0] * 7
+
+
+def test_chains_on_cycles_are_those_of_the_condensation(spark):
+    from lodestone.operators import graph as G
+
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "d"), ("x", "x"), ("d", "e"), ("a", "b")], "src string, dst string")
+    assert {(r.node, r.component) for r in G.strong_components(G.edges(e)).collect()} == {("a", "a"), ("b", "b"), ("c", "b"), ("d", "d"), ("e", "e"), ("x", "x")}
+    assert {(r.node, r.depth) for r in G.longest_chain(G.edges(e)).collect()} == {("a", 0), ("b", 1), ("c", 1), ("d", 2), ("e", 3), ("x", 0)}
+
+
+def test_truncation_keeps_characters_whole(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import retrieval as R
+
+    texts = [c * k + "z" * j for c in "aéの😀" for k in (1, 3, 5) for j in (0, 1, 2, 3, 9)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for limit in (1, 4, 7, 10):
+        got = [r[0] for r in df.select(R.truncate_utf8(F.col("t"), limit, "#")).collect()]
+        want = [t if t is None or len(t.encode()) <= limit else t.encode()[:limit].decode("utf-8", "ignore") + "#" for t in texts]
+        assert got == want
+
+
+def test_recursive_split_keeps_all_text():
+    from lodestone.operators import retrieval as R
+
+    text = "\n\n".join(f"def f{i}(a):\n    return a + {i}" for i in range(400)) + "x" * 5000
+    got = R.split_recursively(text, R.SEPARATORS["python"])
+    assert all(0 < len(p) <= 2000 for p in got) and all(p in text for p in got) and sum(map(len, got)) >= len(text)
+
+
+def test_index_is_stored_and_read(spark, tmp_path):
+    from lodestone.operators import retrieval as R
+
+    d = spark.createDataFrame([(1, "getUserById user_service_impl 订单模块"), (2, "user"), (2, "user"), (3, None), (None, "user")], "doc_id long, text string")
+    index = R.build_index(d)
+    assert {(r.key, r.term) for r in index.postings.collect()} == {(1, t) for t in ("getuserbyid", "user_service_impl", "user", "service", "impl", "订单", "单模", "模块")} | {(2, "user")}
+    R.save_index(index, str(tmp_path / "i"))
+    again = R.load_index(spark, str(tmp_path / "i"))
+    want = {tuple(r) for r in R.bm25(index, ["service", "user"]).collect()}
+    assert {tuple(r) for r in R.bm25(again, ["service", "user"]).collect()} == want and len(want) >= 1
