@@ -34,6 +34,18 @@ TOUR_LAYERS = [
     ("前端", ["frontend/", "src/", "components/", "pages/", "app/", "store/", "hooks/"]),
     ("基础设施", [".github/", ".circleci/", "docker", "terraform/", "k8s/"]),
 ]
+#: Layers of the client, each by prefixes or, for two of them, by a part of the path.
+CLIENT_LAYERS = [
+    ("接口层", ["routes/", "routers/", "controllers/", "api/", "endpoints/"], None),
+    ("服务层", ["services/", "service/", "core/", "domain/"], None),
+    ("数据层", ["models/", "model/", "entities/", "schemas/", "dal/", "repositories/"], None),
+    ("工具层", ["utils/", "util/", "helpers/", "common/", "lib/", "shared/"], None),
+    ("配置/入口", ["config/", "settings/", "main.", "app.", "index.", "manage.", "run."], None),
+    ("前端", ["src/", "components/", "pages/", "store/", "hooks/"], "frontend"),
+    ("测试", ["tests/", "test/", "spec/", "__tests__/"], None),
+    ("数据库迁移", ["migrations/", "alembic/", "db/"], None),
+    ("基础设施", [".github/", "docker", "dockerfile", "terraform/", "k8s/"], "infra"),
+]
 #: Roles of modules, the first matching prefix decides.
 ROLES = [
     ("routes/", "api_entry"), ("controllers/", "api_entry"), ("handlers/", "api_entry"), ("views/", "api_entry"),
@@ -99,6 +111,13 @@ def layer(path: Column, layers=GUIDE_LAYERS) -> Column:
     return _first(F.lower(slashes(path)), [(_prefixes(p), name) for name, p in layers], "其他")
 
 
+def client_layer(path: Column) -> Column:
+    def test(prefixes, part):
+        return lambda p: _prefixes(prefixes)(p) | (p.contains(part) if part else F.lit(False))
+
+    return _first(F.lower(slashes(path)), [(test(prefixes, part), name) for name, prefixes, part in CLIENT_LAYERS], "其他")
+
+
 def role(path: Column) -> Column:
     return _first(slashes(path), [(_prefixes([p]), r) for p, r in ROLES], "general")
 

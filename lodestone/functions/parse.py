@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 import warnings
 
@@ -101,6 +102,54 @@ def _close(masked: str, at: int, pair: str = "{}") -> int:
     return len(masked) - 1
 
 
+def _body(masked: str, at: int) -> tuple[int, bool]:
+    """After a parameter list: where the body's brace stands (-1 if there is none) and whether an arrow comes
+    first. A return type may hold braces of its own: those that follow ``:``, ``|``, ``&``, ``<``, ``,`` or ``(``."""
+    i, n, typed, last, arrow = at + 1, len(masked), False, "", False
+    while i < n:
+        c = masked[i]
+        if c == "=" and masked[i : i + 2] == "=>":
+            arrow, last, i = True, "=>", i + 2
+            rest = i
+            while rest < n and masked[rest].isspace():
+                rest += 1
+            if not typed or masked[rest : rest + 1] == "{":
+                return (rest, True) if masked[rest : rest + 1] == "{" else (-1, True)
+            continue
+        if c == "{":
+            if not typed or last not in ":|&<,(":
+                return i, arrow
+            i = _close(masked, i)
+            last = "}"
+        elif c in "([":
+            i = _close(masked, i, "()" if c == "(" else "[]")
+            last = ")"
+        elif c == ":" and not typed:
+            typed, last = True, c
+        elif c in ";=)},]" or (not typed and not c.isspace()):
+            return -1, arrow
+        elif not c.isspace():
+            last = c
+        i += 1
+    return -1, arrow
+
+
+def _doc_before(text: str, at: int) -> str | None:
+    """The documentation comment that ends right before a place, without its stars."""
+    while at > 0 and text[at - 1].isspace():
+        at -= 1
+    begin = text.rfind("/**", 0, at) if text.endswith("*/", 0, at) else -1
+    if begin < 0 or text.find("*/", begin + 3, at) != at - 2:
+        return None
+    return "\n".join(x.strip().lstrip("*").strip() for x in text[begin + 3 : at - 2].split("\n")).strip() or None
+
+
+def _lines(text: str):
+    """A function from a place to the number of its line."""
+    ends = [i for i, c in enumerate(text) if c == "\n"]
+    return lambda i: bisect.bisect_left(ends, i) + 1
+
+
 def _split(text: str) -> list[str]:
     out, depth, start = [], 0, 0
     for i, c in enumerate(text):
@@ -115,26 +164,24 @@ def parse_typescript(path: str, text: str) -> dict:
     """The module record of a JavaScript or TypeScript file, by patterns over text whose comments and
     strings are masked."""
     masked = _MASK.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-    line = lambda i: text.count("\n", 0, i) + 1
+    line = _lines(text)
     imports = sorted({a or b or c for a, b, c in _IMPORT.findall(text)})
     external = sorted({"/".join(i.split("/")[: 2 if i[0] == "@" else 1]) for i in imports if not i.startswith(("@/", "~/", "."))})
 
     def function(m):
         open_ = m.end() - 1
         close = _close(masked, open_, "()")
-        brace = masked.find("{", close)
-        end = _close(masked, brace) if 0 <= brace - close < 200 else close
+        brace, arrow = _body(masked, close)
+        end = _close(masked, brace) if brace >= 0 else close
         args = []
         for a in _split(text[open_ + 1 : close]):
             name, _, default = a.partition("=") if "=>" not in a else (a, "", "")
             name, _, kind = name.partition(":")
             args.append({"name": name.strip(" .?"), "type_annotation": kind.strip() or None, "default": default.strip() or None})
-        before = text[: m.start()].rstrip()
-        doc = before[before.rfind("/**") + 3 : -2] if before.endswith("*/") and "/**" in before[-2000:] else None
-        doc = "\n".join(x.strip().lstrip("*").strip() for x in doc.split("\n")).strip() if doc else None
+        doc = _doc_before(text, m.start())
         ret = re.match(r"\s*:\s*([^={]+)", masked[close + 1 : brace] if brace > close else "")
         start = m.start() + len(m[0]) - len(m[0].lstrip())
-        return {"name": m[1], "docstring": doc, "args": args, "returns": ret[1].strip() if ret else None, "anchor": {"file": path, "line": line(start)}, "end_line": line(end), "decorators": []}, m.start(), end
+        return {"name": m[1], "docstring": doc, "args": args, "returns": ret[1].strip() if ret else None, "anchor": {"file": path, "line": line(start)}, "end_line": line(end), "decorators": []}, m.start(), end, arrow
 
     classes, spans = [], []
     for m in _CLASS.finditer(masked):
@@ -143,21 +190,21 @@ def parse_typescript(path: str, text: str) -> dict:
         methods = []
         inner = m.end()
         while (k := _METHOD.search(masked, inner, end)) is not None:
-            f, _, stop = function(k)
+            f, _, stop, _ = function(k)
             inner = max(stop, k.end())
             if k[1] not in _WORDS and masked[_close(masked, k.end() - 1, "()") + 1 : stop].count("{"):
                 methods.append(f)
         bases = [x for x in [m[2], *[y.strip() for y in (m[3] or "").split(",")]] if x]
         start = m.start() + len(m[0]) - len(m[0].lstrip())
-        classes.append({"name": m[1], "docstring": None, "bases": bases, "methods": methods, "anchor": {"file": path, "line": line(start)}, "end_line": line(end), "decorators": []})
+        classes.append({"name": m[1], "docstring": _doc_before(text, m.start()), "bases": bases, "methods": methods, "anchor": {"file": path, "line": line(start)}, "end_line": line(end), "decorators": []})
     functions, components = [], []
     for rx in (_FUNC, _ARROW):
         for m in rx.finditer(masked):
             if any(a <= m.start() <= b for a, b in spans):
                 continue
-            f, start, end = function(m)
+            f, start, end, arrow = function(m)
             body = text[start : end + 1]
-            if rx is _ARROW and "=>" not in masked[m.end() : end + 300]:
+            if rx is _ARROW and not arrow:
                 continue
             functions.append(f)
             if f["name"][0].isupper() and "<" in body and ">" in body:
@@ -167,7 +214,7 @@ def parse_typescript(path: str, text: str) -> dict:
     for m in _INTERFACE.finditer(masked):
         end = _close(masked, m.end() - 1)
         start = m.start() + len(m[0]) - len(m[0].lstrip())
-        interfaces.append({"name": m[1], "docstring": None, "members": [{"name": a, "type": b.strip()} for a, b in _MEMBER.findall(text[m.end() : end])], "anchor": {"file": path, "line": line(start)}, "end_line": line(end)})
+        interfaces.append({"name": m[1], "docstring": _doc_before(text, m.start()), "members": [{"name": a, "type": b.strip()} for a, b in _MEMBER.findall(text[m.end() : end])], "anchor": {"file": path, "line": line(start)}, "end_line": line(end)})
     return {
         "path": path, "language": "typescript" if path.endswith((".ts", ".tsx")) else "javascript", "imports": imports, "external_imports": external, "exports": sorted(set(_EXPORT.findall(masked))),
         "functions": functions, "classes": classes, "interfaces": interfaces, "components": components, "total_lines": text.count("\n") + 1 if text else 0,
@@ -184,8 +231,54 @@ def parse_module(path: str, text: str | None) -> dict:
     return {"path": path, "language": "infra", "total_lines": text.count("\n") + 1 if text else 0}
 
 
+_CALL = re.compile(r"(?<![\w$])(?:(?P<owner>[\w$]+)\s*\??\.\s*)?(?P<name>[\w$]+)\s*(?:<[^<>(){};]*>)?\(")
+_NO_CALL = {"if", "for", "while", "switch", "catch", "return", "function", "super", "typeof", "await", "new", "in", "of", "do", "else", "with", "import", "case", "throw", "delete", "void", "yield", "async"}
+
+
+def typescript_calls(path: str, text: str):
+    """(module, line, name, full_name, receiver) of each call ``f()``, ``a.f()`` or ``g().f()`` of a JavaScript or
+    TypeScript file; definitions, constructions and calls on longer chains of names are none."""
+    text = text.replace("\r\n", "\n")
+    masked = _MASK.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    line = _lines(text)
+    for m in _CALL.finditer(masked):
+        name, owner, at = m["name"], m["owner"], m.start()
+        if name in _NO_CALL or name[0].isdigit() or (owner and owner[0].isdigit()):
+            continue
+        before = at - 1
+        while before >= 0 and masked[before].isspace():
+            before -= 1
+        word = re.search(r"[\w$]+$", masked[max(0, before - 12) : before + 1])
+        if word and word[0] in ("function", "new", "class"):
+            continue
+        if not owner:
+            stop, arrow = _body(masked, _close(masked, m.end() - 1, "()"))
+            if stop >= 0 and not arrow and (before < 0 or masked[before] in "{};*)]" or word):
+                continue  # a method or function is defined here
+        if before >= 0 and masked[before] == ".":
+            if owner:
+                continue
+            before -= 1
+            while before >= 0 and masked[before] in " \n\t?":
+                before -= 1
+            if before < 0 or masked[before] != ")":
+                continue
+            depth = 0
+            while before >= 0:
+                depth += (masked[before] == ")") - (masked[before] == "(")
+                if not depth:
+                    break
+                before -= 1
+            chain = re.search(r"[\w$.]+$", masked[max(0, before - 200) : before].rstrip())
+            owner = chain[0] if chain else None
+        yield path, line(at), name, f"{owner}.{name}" if owner else name, owner
+
+
 def call_sites(path: str, text: str):
-    """(module, line, name, full_name, receiver) of each call of a Python file."""
+    """(module, line, name, full_name, receiver) of each call of a file, by its language."""
+    if path.lower().endswith((".ts", ".tsx", ".js", ".jsx")):
+        yield from typescript_calls(path, text)
+        return
     try:
         tree = tree_of(text.replace("\r\n", "\n"))
     except (SyntaxError, ValueError, RecursionError, MemoryError):
@@ -354,6 +447,32 @@ def control_flow(path: str, text: str):
             yield path, f.name, f.lineno, len(g.succ), sum(map(len, g.succ)), cc, max((depth(c) for c in f.body), default=0), g.dead()
 
 
+def _graphs(path: str, text: str):
+    try:
+        tree = tree_of(text.replace("\r\n", "\n"))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return
+    for f in ast.walk(tree):
+        if isinstance(f, _DEF):
+            yield f.name, f.lineno, FlowGraph(f.body)
+
+
+def flow_blocks(path: str, text: str):
+    """(module, function, line, block, kind, reachable) of each basic block."""
+    for name, line, g in _graphs(path, text):
+        seen = g.reached([0])
+        for b in range(len(g.succ)):
+            yield path, name, line, b, "entry" if b == 0 else "exit" if b == 1 else "block", b in seen
+
+
+def flow_edges(path: str, text: str):
+    """(module, function, line, src, dst) of each edge between basic blocks."""
+    for name, line, g in _graphs(path, text):
+        for b, after in enumerate(g.succ):
+            for t in sorted(after):
+                yield path, name, line, b, t
+
+
 def definitions_uses(path: str, text: str):
     """(module, function, line, source, target, operation): from each variable read to each one written by
     an assignment; ``<literal>`` where nothing is read. Nested functions are their own."""
@@ -471,6 +590,8 @@ def parse_orm(path: str, text: str):
 TABLES = {
     "call_sites": (call_sites, "module string, line int, name string, full_name string, receiver string"),
     "control_flow": (control_flow, "module string, function string, line int, blocks int, edges int, complexity int, nesting int, dead_blocks int"),
+    "flow_blocks": (flow_blocks, "module string, function string, line int, block int, kind string, reachable boolean"),
+    "flow_edges": (flow_edges, "module string, function string, line int, src int, dst int"),
     "definitions_uses": (definitions_uses, "module string, function string, line int, source string, target string, operation string"),
     "taint_flows": (taint_flows, "module string, source_line int, sink_line int, source string, sink string, risk string"),
     "ddl": (parse_ddl, "source string, table_name string, column_name string, type string, primary_key boolean, nullable boolean, referenced_table string, referenced_column string"),

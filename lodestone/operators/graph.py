@@ -201,6 +201,14 @@ def coverage_rate(e: DataFrame, is_test) -> DataFrame:
     return coverage(e, is_test).agg(F.count("*").alias("covered")).crossJoin(own).withColumn("rate", F.round(F.col("covered") / F.col("production"), 3))
 
 
+def around(e: DataFrame, centre: DataFrame, k: int = 10) -> DataFrame:
+    """One row for the node of ``centre`` (column ``id``): its first ``callers`` and ``callees`` by name."""
+    near = e.join(F.broadcast(centre.select(F.col("id").alias("dst"))), "dst", "left_semi").orderBy("src").limit(k)
+    far = e.join(F.broadcast(centre.select(F.col("id").alias("src"))), "src", "left_semi").orderBy("dst").limit(k)
+    text = lambda df, c, name: df.agg(F.array_join(F.sort_array(F.collect_list(c)), ",").alias(name))
+    return centre.crossJoin(text(near, "src", "callers")).crossJoin(text(far, "dst", "callees"))  # one row each
+
+
 def merge_relations(labelled: DataFrame) -> DataFrame:
     """One row per pair with its distinct relations in order, joined by ``+``."""
     return labelled.groupBy("src", "dst").agg(F.concat_ws("+", F.array_sort(F.collect_set("relation"))).alias("relation"))

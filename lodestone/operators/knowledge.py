@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import role, slashes
 from . import resolve as R
+from .windows import top_per_group
+
+
+def names_only(column: str):
+    """A column of entities reduced to what a graph needs of them: names, bases and the names of methods."""
+    named = lambda x: F.struct(x["name"].alias("name"))
+    if column == "classes":
+        kept = F.transform(column, lambda c: F.when(c.isNotNull(), F.struct(c["name"].alias("name"), c["bases"].alias("bases"), F.transform(c["methods"], lambda m: F.when(m.isNotNull(), named(m))).alias("methods"))))
+    else:
+        kept = F.transform(column, lambda x: F.when(x.isNotNull(), named(x)))
+    return kept.alias(column)
 
 
 def build(modules: DataFrame, imports: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -74,7 +85,11 @@ def module_pages(modules: DataFrame, edges: DataFrame, limit: int = 28000, conte
     """``path, role, markdown``: the page of each module from its records, with the first dependencies and
     dependents by name; cut at ``limit`` characters."""
     m = modules.select(slashes(F.col("path")).alias("path"), "language", "docstring", "total_lines", "functions", "classes")
-    few = lambda key, other, name: edges.groupBy(F.col(key).alias("path")).agg(F.slice(F.array_sort(F.collect_set(other)), 1, context).alias(name))
+
+    def few(key, other, name):
+        first = top_per_group(edges.select(F.col(key).alias("path"), F.col(other).alias("x")).distinct(), ["path"], [F.col("x")], context)
+        return first.groupBy("path").agg(F.sort_array(F.collect_list("x")).alias(name))  # at most ``context``
+
     j = m.join(few("src", "dst", "uses"), "path", "left").join(few("dst", "src", "used_by"), "path", "left")
     names = lambda c: F.transform(F.filter(F.coalesce(c, F.array()), lambda x: x.isNotNull()), lambda x: F.concat(F.lit("- `"), F.coalesce(x["name"], F.lit("?")), F.lit("` "), F.coalesce(F.split(x["docstring"], "\n")[0], F.lit(""))))
     items = lambda c: F.transform(F.coalesce(c, F.expr("array()").cast("array<string>")), lambda x: F.concat(F.lit("- "), x))

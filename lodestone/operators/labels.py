@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,3 +69,27 @@ def class_diagram(modules: DataFrame, per_module: int = 8, per_class: int = 6) -
     box = c.select("path", F.concat(F.lit("    class "), safe_identifier(F.col("c.name")), F.lit(" {\n"), body, F.lit("\n    }")).alias("line"))
     arrows = c.select("path", F.col("c.name").alias("n"), F.explode("c.bases").alias("b")).where("b IS NOT NULL")
     return box.union(arrows.select("path", F.concat(F.lit("    "), safe_identifier(F.col("b")), F.lit(" <|-- "), safe_identifier(F.col("n"))))).distinct()
+
+
+def sequence_diagram(e: DataFrame, centre: DataFrame, callers: int = 3, callees: int = 5) -> DataFrame:
+    """``line``: messages of the first callers of the node of ``centre`` (column ``node``) to it, and of it to
+    its first callees."""
+    e = e.where("src <> dst")
+    near = e.join(F.broadcast(centre.select(F.col("node").alias("dst"))), "dst", "left_semi").select("src", "dst").orderBy("src").limit(callers)
+    far = e.join(F.broadcast(centre.select(F.col("node").alias("src"))), "src", "left_semi").select("src", "dst").orderBy("dst").limit(callees)
+    safe = lambda c: F.regexp_replace(c, r"[^A-Za-z0-9_]", "_")
+    return near.union(far).select(F.format_string("    %s->>%s: uses", safe(F.col("src")), safe(F.col("dst"))).alias("line"))
+
+
+def matching_tables(columns: DataFrame, word: str = "", only: str | None = None) -> DataFrame:
+    """Of columns (``table_name, class, column_name, referenced_table, kind``), those of the tables whose name,
+    class, any column or any referenced table holds the word; ``only`` keeps one kind of tables."""
+    has = lambda c: F.coalesce(F.lower(F.col(c)).contains(word.lower()), F.lit(False))
+    rows = columns if only is None else columns.where(F.col("kind") == only)
+    hit = rows.where(has("table_name") | has("class") | has("column_name") | has("referenced_table")).select("table_name").distinct()
+    return rows.join(hit, "table_name", "left_semi")
+
+
+def camel_case(df: DataFrame) -> DataFrame:
+    """Columns renamed from ``snake_case`` to ``camelCase``."""
+    return df.toDF(*[re.sub(r"_([a-z])", lambda m: m[1].upper(), c) for c in df.columns])

@@ -127,3 +127,44 @@ def delta(current: DataFrame, stored: DataFrame, key: str = "path", digest: str
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those with the same key."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def sync_decision(changes: DataFrame) -> DataFrame:
+    """One row: ``skip`` if nothing has changed, else ``rebuild``, and how much has."""
+    n = lambda kind: F.count_if(F.col("change") == kind).alias(kind)
+    some = F.count_if(F.col("change") != "same") > 0
+    return changes.agg(F.when(some, "rebuild").otherwise("skip").alias("decision"), n("added"), n("changed"), n("deleted"))
+
+
+def class_uses(modules: DataFrame) -> DataFrame:
+    """``src, name, dst``: imports of modules with classes that name a run of the folders and the name of
+    another module with classes, the smallest path. Runs are looked up by equality, as many per path as it has
+    pairs of folders, so no import meets every path."""
+    own = modules.where(F.exists("classes", lambda c: c.isNotNull())).select(slashes(F.col("path")).alias("path"), "imports")
+    i = own.select(F.col("path").alias("src"), F.explode("imports").alias("x")).where("x IS NOT NULL").select("src", F.translate("x", ".", "/").alias("name")).distinct()
+    s = own.select("path", F.split(F.regexp_replace("path", r"\.[^./]*$", ""), "/").alias("s")).distinct()
+    a = s.select("path", "s", F.explode(F.sequence(F.lit(1), F.size("s"))).alias("a"))
+    runs = a.select("path", "s", "a", F.explode(F.sequence("a", F.size("s"))).alias("b")).select(F.col("path").alias("dst"), F.array_join(F.slice("s", F.col("a"), F.col("b") - F.col("a") + 1), "/").alias("name")).distinct()
+    return i.join(runs, "name").where("src <> dst").groupBy("src", "name").agg(F.min("dst").alias("dst"))
+
+
+def table_union(first: DataFrame, second: DataFrame, name: str = "table_name") -> DataFrame:
+    """Columns of both sources; a table that both know by one name is taken from the first."""
+    return first.unionByName(second.join(first.select(name).distinct(), name, "left_anti"), allowMissingColumns=True)
+
+
+def explicit_keys(columns: DataFrame) -> DataFrame:
+    """``source, source_column, target, target_column``: references that a schema states."""
+    c = columns.where("referenced_table IS NOT NULL")
+    return c.select(F.col("table_name").alias("source"), F.col("column_name").alias("source_column"), F.col("referenced_table").alias("target"), F.col("referenced_column").alias("target_column")).distinct()
+
+
+def add_missing(nodes: DataFrame, more: DataFrame, key: str = "path") -> DataFrame:
+    """``nodes`` and those of ``more`` that are not among them."""
+    return nodes.unionByName(more.join(nodes.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
+
+
+def path_steps(flows: DataFrame, steps: DataFrame) -> DataFrame:
+    """The definitions and uses of a module (``module, line, ...``) whose line lies between source and sink of
+    a flow (``module, source_line, sink_line``)."""
+    return flows.join(steps, "module").where("line BETWEEN source_line AND sink_line").distinct()

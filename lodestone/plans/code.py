@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
+from ..functions import parse as P
+from ..operators import graph as G
 from ..operators import metrics as M
 from ..operators import resolve as R
 from ..session import table
+from ..sources import files as S
 from .catalog import query
 
 
@@ -44,10 +47,9 @@ def layer_classify(spark, d):
     )
 
 
-@query(f"WITH p AS (SELECT DISTINCT path FROM source_files) SELECT count(*) AS total, CAST(sum(CASE WHEN regexp_matches({_P}, '(^|/)(__pycache__|\\.git|node_modules|\\.venv|venv|dist|build|\\.mypy_cache|\\.pytest_cache|\\.tox)/|\\.pyc$|\\.egg-info/') THEN 1 ELSE 0 END) AS BIGINT) AS excluded FROM p")
+@query(f"WITH p AS (SELECT DISTINCT path FROM source_files) SELECT count(*) AS total, CAST(sum(CASE WHEN regexp_matches({_P}, '(^|/)(__pycache__|\\.git|node_modules|\\.venv|venv|dist|build|\\.mypy_cache|\\.pytest_cache|\\.tox)/|\\.pyc$|\\.egg-info/') THEN 1 ELSE 0 END) AS BIGINT) AS excluded, total - excluded AS to_analyze FROM p")
 def scan_counts(spark, d):
-    p = table(spark, d, "source_files").select("path").distinct()
-    return p.agg(F.count("*").alias("total"), F.count_if(C.excluded(F.col("path"))).alias("excluded"))
+    return S.counts(table(spark, d, "source_files").select("path").distinct())
 
 
 @query(
@@ -62,16 +64,6 @@ def entry_score(spark, d):
     return s.groupBy("path").agg(F.max("score").alias("score")).where("score >= 2").orderBy(F.desc("score"), "path").limit(8)
 
 
-@query(
-    """WITH f AS (SELECT DISTINCT path, content FROM source_files), l AS (SELECT path, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line, unnest(string_split(content, chr(10))) AS text FROM f)
-    SELECT path, line, substr(match, 1, 100) AS match FROM (SELECT path, line, unnest(regexp_extract_all(text, '\\btry\\s*:|\\bexcept\\s+|\\bcatch\\s*\\(|\\bthrow\\s+new\\s+Error')) AS match FROM l)"""
-)
-def regex_lines(spark, d):
-    lines = table(spark, d, "source_files").select("path", "content").distinct().select("path", F.posexplode(F.split("content", "\n", -1)).alias("i", "text"))
-    hit = F.explode(F.regexp_extract_all("text", F.lit(r"\btry\s*:|\bexcept\s+|\bcatch\s*\(|\bthrow\s+new\s+Error"), F.lit(0)))
-    return lines.select("path", (F.col("i") + 1).cast("bigint").alias("line"), hit.alias("match")).withColumn("match", F.substring("match", 1, 100))
-
-
 @query(f"WITH {_MOD}, {_FN}, {_CALLABLE} SELECT id, name, module, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line FROM k")
 def callables(spark, d):
     return R.callables(_m(spark, d)).select("id", "name", "module", "start_line", "end_line")
@@ -108,31 +100,29 @@ def import_resolve(spark, d):
     return R.resolve_imports(i, table(spark, d, "source_files"))
 
 
-@query(
+#: Of all module records; whether any base is known there depends on the tables.
+INHERITS = (
     f"WITH {_MOD}, cl AS (SELECT path, unnest(classes) AS c FROM m), n AS (SELECT c.name AS name, min(path || '::' || c.name) AS parent FROM cl WHERE c.name IS NOT NULL GROUP BY 1), b AS (SELECT path || '::' || c.name AS child, unnest(c.bases) AS base FROM cl WHERE c.name IS NOT NULL) SELECT DISTINCT child, parent FROM b JOIN n ON b.base = n.name"
 )
-def inherits(spark, d):
-    return R.inherits(_m(spark, d))
-
-
-@query(
+IMPLEMENTS = (
     f"WITH {_MOD}, i AS (SELECT DISTINCT path AS module, i.name AS interface FROM (SELECT path, unnest(interfaces) AS i FROM m) WHERE i IS NOT NULL), b AS (SELECT path AS module, c.name AS cls, unnest(c.bases) AS interface FROM (SELECT path, unnest(classes) AS c FROM m) WHERE c IS NOT NULL) SELECT DISTINCT module, cls, interface FROM b JOIN i USING (module, interface)"
 )
-def implements(spark, d):
-    return R.implements(_m(spark, d))
 
 
-_FK = "[('events','user_id'),('chunks','chunk_id'),('documents','doc_id'),('eval_items','item_id'),('modules','module_id'),('raw_modules','module_id'),('lineitem','order_id'),('orders','customer_id'),('supplier','nation_id'),('nation','region_id'),('call_sites','source_file_id'),('customer','nation_id')]"
+_COLUMNS = "region nation customer supplier part orders lineitem events documents embeddings repos source_files modules raw_modules chunks call_sites dep_edges file_hash eval_items".split()
 
 
 @query(
-    f"""WITH c AS (SELECT unnest({_FK.replace("(", "{'t': ").replace("','", "', 'c': '").replace(")", "}")}) AS x), t AS (SELECT DISTINCT x.t AS name FROM c UNION SELECT unnest(['region', 'customer', 'sourcefiles', 'source_files'])),
-    e AS (SELECT x.t AS table_name, x.c AS "column", regexp_extract(x.c, '^(.*)_id$', 1) AS s FROM c), k AS (SELECT *, unnest([s, s || 's', replace(s, '_', '')]) AS cand, unnest([0, 1, 2]) AS p FROM e)
+    f"""WITH c AS (SELECT table_name, column_name AS "column" FROM information_schema.columns WHERE table_name IN ('{"','".join(_COLUMNS)}')), t AS (SELECT DISTINCT regexp_replace(table_name, 's$', '') AS name FROM c UNION SELECT DISTINCT table_name FROM c UNION SELECT unnest(['user', 'doc', 'vec', 'item'])),
+    e AS (SELECT table_name, "column", regexp_extract("column", '^(.*)_id$', 1) AS s FROM c WHERE regexp_matches("column", '._id$')), k AS (SELECT *, unnest([s, s || 's', replace(s, '_', '')]) AS cand, unnest([0, 1, 2]) AS p FROM e)
     SELECT table_name, "column", cand AS target FROM (SELECT k.*, row_number() OVER (PARTITION BY table_name, "column" ORDER BY p) AS r FROM k JOIN t ON t.name = cand WHERE cand <> table_name) WHERE r = 1"""
 )
 def implicit_fk(spark, d):
-    cols = spark.createDataFrame(eval(_FK), "table_name string, column string")
-    names = cols.select("table_name").union(spark.createDataFrame([("region",), ("customer",), ("sourcefiles",), ("source_files",)], "table_name string"))
+    """References by name among the columns of all tables; the names that tables may be called by are given
+    in the singular too."""
+    rows = [(t, c) for t in _COLUMNS for c in table(spark, d, t).columns]
+    cols = spark.createDataFrame(rows, "table_name string, column string")
+    names = cols.select("table_name").union(cols.select(F.regexp_replace("table_name", "s$", ""))).union(spark.createDataFrame([("user",), ("doc",), ("vec",), ("item",)], "table_name string"))
     return R.implicit_keys(cols, names)
 
 
@@ -190,17 +180,19 @@ _FACTS = f"""{_MOD}, {_FN}, {_CC}, {_SM}, fa AS (SELECT split_part(path, '/', 1)
  ed AS (SELECT split_part(src, '/', 1) AS repo, count(*)::DOUBLE / count(DISTINCT src) AS avg_coupling, max(n) AS max_coupling FROM (SELECT src, dst, count(*) OVER (PARTITION BY src) AS n FROM (SELECT DISTINCT src, dst FROM dep_edges)) GROUP BY 1),
  mo AS (SELECT split_part(path, '/', 1) AS repo, CAST(sum(coalesce(total_lines, 0)) AS BIGINT) AS lines, CAST(sum(len(list_filter(coalesce(classes, []), lambda c: c IS NOT NULL))) AS BIGINT) AS classes FROM m GROUP BY 1),
  sr AS (SELECT split_part(path, '/', 1) AS repo, CAST(sum(long_functions) AS BIGINT) AS long, CAST(sum(many_parameters) AS BIGINT) AS wide, CAST(sum(god_classes) AS BIGINT) AS god FROM sm GROUP BY 1),
- facts AS (SELECT mo.repo, coalesce(functions, 0) AS functions, coalesce(avg_cc, 0) AS avg_cc, coalesce(max_cc, 0) AS max_cc, coalesce(avg_coupling, 0) AS avg_coupling, coalesce(max_coupling, 0) AS max_coupling, 0 AS isolated, 0 AS dead, lines, coalesce(coverage, 0) AS coverage, 0 AS churned, coalesce(long, 0) AS long, coalesce(wide, 0) AS wide, coalesce(god, 0) AS god, classes FROM mo LEFT JOIN fa USING (repo) LEFT JOIN ed USING (repo) LEFT JOIN sr USING (repo))"""
+ al AS (SELECT split_part(path, '/', 1) AS repo, count(*) AS alone FROM (SELECT DISTINCT path FROM m) WHERE path NOT IN (SELECT src FROM dep_edges WHERE src IS NOT NULL UNION SELECT dst FROM dep_edges WHERE dst IS NOT NULL) GROUP BY 1),
+ ch AS (SELECT split_part(path, '/', 1) AS repo, count(*) AS churned FROM (SELECT path FROM source_files GROUP BY path HAVING count(*) > 10) GROUP BY 1),
+ facts AS (SELECT mo.repo, coalesce(functions, 0) AS functions, coalesce(avg_cc, 0) AS avg_cc, coalesce(max_cc, 0) AS max_cc, coalesce(avg_coupling, 0) AS avg_coupling, coalesce(max_coupling, 0) AS max_coupling, coalesce(alone, 0) AS isolated, 0 AS dead, lines, coalesce(coverage, 0) AS coverage, coalesce(churned, 0) AS churned, coalesce(long, 0) AS long, coalesce(wide, 0) AS wide, coalesce(god, 0) AS god, classes FROM mo LEFT JOIN fa USING (repo) LEFT JOIN ed USING (repo) LEFT JOIN sr USING (repo) LEFT JOIN al USING (repo) LEFT JOIN ch USING (repo))"""
 _TERMS = [
     ("avg_complexity", "-least(25.0::DOUBLE, 2 * greatest(0.0::DOUBLE, avg_cc - 3))"),
     ("max_complexity", "CASE WHEN max_cc > 10 THEN -least(15.0::DOUBLE, 0.8::DOUBLE * (max_cc - 10)) ELSE 0.0::DOUBLE END"),
     ("avg_coupling", "-least(15.0::DOUBLE, 2 * greatest(0.0::DOUBLE, avg_coupling - 3))"),
     ("max_coupling", "CASE WHEN max_coupling > 5 THEN -least(10.0::DOUBLE, max_coupling - 5.0::DOUBLE) ELSE 0.0::DOUBLE END"),
-    ("isolated", "0.0::DOUBLE"),
+    ("isolated", "CASE WHEN isolated / greatest(functions, 1)::DOUBLE > 0.2 THEN -8.0::DOUBLE ELSE 0.0::DOUBLE END"),
     ("dead_blocks", "-0.0::DOUBLE"),
     ("size", "CASE WHEN lines > 50000 THEN -least(5.0::DOUBLE, lines / 100000.0::DOUBLE * 5) ELSE 0.0::DOUBLE END"),
     ("coverage", "least(15.0::DOUBLE, 15 * coverage)"),
-    ("churn", "-0.0::DOUBLE"),
+    ("churn", "-least(10.0::DOUBLE, 2.0::DOUBLE * churned)"),
     ("long_functions", "-least(10.0::DOUBLE, 25.0::DOUBLE * long / greatest(functions, 1))"),
     ("many_parameters", "-least(8.0::DOUBLE, 20.0::DOUBLE * wide / greatest(functions, 1))"),
     ("god_classes", "-least(8.0::DOUBLE, 16.0::DOUBLE * god / greatest(classes, 1))"),
@@ -218,8 +210,15 @@ def _facts(spark, d):
     mp = m.select(C.slashes(F.col("path")).alias("path"), "total_lines", "classes")
     mo = mp.groupBy(repo).agg(F.sum(F.coalesce("total_lines", F.lit(0))).alias("lines"), F.sum(F.size(F.filter(F.coalesce("classes", F.array()), lambda c: c.isNotNull()))).alias("classes"))
     sr = M.smells(M.functions_of(m)).groupBy(repo).agg(F.sum("long_functions").alias("long"), F.sum("many_parameters").alias("wide"), F.sum("god_classes").alias("god"))
-    out = mo.join(fa, "repo", "left").join(ed, "repo", "left").join(sr, "repo", "left").na.fill(0)
-    return out.withColumns({"isolated": F.lit(0), "dead": F.lit(0), "churned": F.lit(0)})
+    files = table(spark, d, "source_files")
+    al = G.isolated(mp.select("path").distinct(), G.edges(table(spark, d, "dep_edges")), "path").groupBy(repo).agg(F.count("*").alias("isolated"))
+    ch = files.groupBy("path").count().where("count > 10").groupBy(repo).agg(F.count("*").alias("churned"))
+    flow = P.extract(files.where(F.lower("path").endswith(".py")), "control_flow").dropDuplicates(["module", "line", "function"])
+    de = flow.groupBy(F.split("module", "/")[0].alias("repo")).agg(F.sum("dead_blocks").alias("dead"))
+    out = mo
+    for part in (fa, ed, sr, al, ch, de):
+        out = out.join(part, "repo", "left")
+    return out.na.fill(0)
 
 
 @query(f"WITH {_FACTS} SELECT repo, round(least(100.0::DOUBLE, greatest(0.0::DOUBLE, 100 + {' + '.join('(' + t + ')' for _, t in _TERMS)})), 1) AS score FROM facts")

@@ -7,3 +7,4 @@ from . import code  # noqa: F401
 from . import ordered, parsing  # noqa: F401
 from . import corpus  # noqa: F401
 from . import labelled  # noqa: F401
+from . import overview, searching, fixtures  # noqa: F401
