@@ -52,33 +52,34 @@ def build(modules: DataFrame, imports: DataFrame, calls: DataFrame) -> tuple[Dat
 def entity_chunks(modules: DataFrame, files: DataFrame) -> DataFrame:
     """``source, title, symbol_name, symbol_type, parent_class, start_line, end_line, text``: one chunk per
     function, method, class, interface and component: header lines, documentation and the source lines."""
-    m = modules.select(slashes(F.col("path")).alias("source"), "functions", "classes", "interfaces", "components")
     none = F.lit(None).cast("string")
 
-    def pick(df, x, kind, parent=none, doc=None):
-        return df.select("source", F.col(f"{x}.name").alias("symbol_name"), F.lit(kind).alias("symbol_type"), parent.alias("parent_class"), F.col(f"{x}.anchor.line").alias("start_line"), F.col(f"{x}.end_line").alias("end_line"), (F.col(doc) if doc else none).alias("doc"))
+    def entity(x, kind, parent=none, doc=True):
+        return F.struct(
+            x["name"].alias("symbol_name"), F.lit(kind).alias("symbol_type"), parent.alias("parent_class"), x["anchor"]["line"].alias("start_line"), x["end_line"].alias("end_line"),
+            (x["docstring"] if doc else none).alias("doc"),
+        )
 
-    c = m.select("source", F.explode("classes").alias("x"))
-    parts = [
-        pick(m.select("source", F.explode("functions").alias("x")), "x", "function", doc="x.docstring"),
-        pick(c, "x", "class", doc="x.docstring"),
-        pick(c.select("source", F.col("x.name").alias("cls"), F.explode("x.methods").alias("y")), "y", "method", F.col("cls"), "y.docstring"),
-        pick(m.select("source", F.explode("interfaces").alias("x")), "x", "interface", doc="x.docstring"),
-        pick(m.select("source", F.explode("components").alias("x")), "x", "component"),
-    ]
-    e = parts[0]
-    for p in parts[1:]:
-        e = e.union(p)
-    e = e.where("symbol_name IS NOT NULL").distinct()
-    text = files.select(slashes(F.col("path")).alias("source"), F.col("content")).dropDuplicates(["source"])
+    def each(column, f):
+        return F.coalesce(F.transform(column, f), F.array())
+
+    methods = F.flatten(F.transform(F.filter(F.coalesce("classes", F.array()), lambda c: c.isNotNull() & c["methods"].isNotNull()), lambda c: F.transform(c["methods"], lambda m: entity(m, "method", c["name"]))))
+    every = F.concat(
+        each("functions", lambda x: entity(x, "function")), each("classes", lambda x: entity(x, "class")), F.coalesce(methods, F.array()),
+        each("interfaces", lambda x: entity(x, "interface")), each("components", lambda x: entity(x, "component", doc=False)),
+    )
+    # a record's entities stay together until the file has met them, so a text is joined once, not once for each
+    m = modules.select(slashes(F.col("path")).alias("source"), F.filter(every, lambda e: e["symbol_name"].isNotNull()).alias("entities")).where(F.size("entities") > 0)
+    text = files.select(slashes(F.col("path")).alias("source"), F.col("content"))
+    e = m.join(text, "source", "left").select("source", F.split("content", "\n", -1).alias("lines"), F.explode("entities").alias("e")).select("source", "lines", "e.*")
     first = F.greatest(F.coalesce("start_line", F.lit(1)), F.lit(1))
     last = F.greatest(F.coalesce(F.nullif("end_line", F.lit(0)), first), first)
-    body = F.array_join(F.slice(F.split("content", "\n", -1), first, last - first + 1), "\n")
-    head = F.concat(F.lit("File: "), "source", F.lit("\n"), F.initcap("symbol_type"), F.lit(": "), F.concat_ws(".", "parent_class", "symbol_name"))
-    return e.join(text, "source", "left").select(
+    body = F.array_join(F.slice("lines", first, last - first + 1), "\n")
+    label = F.concat(F.lit("File: "), "source", F.lit("\n"), F.initcap("symbol_type"), F.lit(": "), F.concat_ws(".", "parent_class", "symbol_name"))
+    return e.select(
         "source", F.concat_ws(" > ", "source", F.concat_ws(".", "parent_class", "symbol_name")).alias("title"), "symbol_name", "symbol_type", "parent_class",
-        first.alias("start_line"), last.alias("end_line"), F.concat_ws("\n", head, "doc", body).alias("text"),
-    )
+        first.alias("start_line"), last.alias("end_line"), F.concat_ws("\n", label, "doc", body).alias("text"),
+    ).distinct()
 
 
 def module_pages(modules: DataFrame, edges: DataFrame, limit: int = 28000, context: int = 8) -> DataFrame:

@@ -84,8 +84,13 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     exact = i.select("src", "name", F.explode(F.array(*cands)).alias("c")).join(f, F.col("c.cand") == F.col("path"))
     best = exact.groupBy("src", "name").agg(F.min(F.struct("c.priority", "path")).alias("b")).select("src", "name", F.col("b.path").alias("dst"))
     left = i.join(best, ["src", "name"], "left_anti").withColumn("base", F.element_at(F.split("inner", "/"), -1))
-    named = left.join(known.select(F.col("repo").alias("r2"), "base", "path"), (F.col("repo") == F.col("r2")) & (left.base == known.base))
-    by_name = named.groupBy("src", "name").agg(F.min(F.struct((~F.col("path").startswith(F.concat("folder", F.lit("/")))).alias("far"), "path")).alias("b")).select("src", "name", F.col("b.path").alias("dst"))
+    # files are reduced to the smallest path of a name in the repository and below each folder before the join
+    anywhere = known.groupBy("repo", "base").agg(F.min("path").alias("far"))
+    parts = F.split("path", "/")
+    above = known.select("path", "base", F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("n")).select("path", "base", F.array_join(F.slice(parts, 1, F.col("n")), "/").alias("folder"))
+    below = above.groupBy("folder", "base").agg(F.min("path").alias("near"))
+    named = left.join(anywhere, ["repo", "base"]).join(below, ["folder", "base"], "left")
+    by_name = named.groupBy("src", "name").agg(F.min(F.struct(F.col("near").isNull().alias("p"), F.coalesce("near", "far").alias("path"))).alias("b")).select("src", "name", F.col("b.path").alias("dst"))
     return best.unionByName(by_name)
 
 

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 
 def history(rows: DataFrame, key: list[str], order: Column, size: Column, turns: int = 6, budget: int = 4800) -> DataFrame:
-    """The newest rows of each key: at most ``turns`` of them, while their sizes add up to the budget."""
+    """The newest rows of each key: at most ``turns`` of them, while their sizes add up to the budget. Each
+    task keeps its own newest rows of a key before anything is shuffled."""
     w = Window.partitionBy(*key).orderBy(order)
-    run = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumns({"turn": F.row_number().over(w).cast("bigint"), "used": run.cast("bigint")}).where((F.col("turn") <= turns) & (F.col("used") <= budget))
+    few = rows.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= turns)
+    run = F.sum(size).over(Window.partitionBy(*key).orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
+    return few.withColumns({"used": run.cast("bigint"), "turn": F.col("turn").cast("bigint")}).where(F.col("used") <= budget)
 
 
 def pack(rows: DataFrame, key: list[str], order: list[Column], text: str, cap: int = 1000, budget: int = 33600) -> DataFrame:

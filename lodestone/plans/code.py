@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
@@ -258,12 +259,13 @@ def dir_rollup(spark, d):
     return _m(spark, d).groupBy(top).agg(F.count("*").alias("files")).orderBy(F.desc("files"), "dir").limit(20)
 
 
-@query(f"WITH {_MOD} SELECT repo, string_agg(path || ' (' || len(coalesce(classes, [])) || 'C/' || len(coalesce(functions, [])) || 'F)', chr(10) ORDER BY path, module_id) AS listing FROM m GROUP BY repo")
+@query(f"WITH {_MOD} SELECT repo, path || ' (' || len(coalesce(classes, [])) || 'C/' || len(coalesce(functions, [])) || 'F)' AS line, row_number() OVER (PARTITION BY repo ORDER BY path, module_id) AS position FROM m")
 def index_listing(spark, d):
+    """The lines of each repository's index, in order; a repository is never gathered into one row."""
     size = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0))
     m = _m(spark, d).select("repo", "module_id", C.slashes(F.col("path")).alias("path"), size("classes").alias("c"), size("functions").alias("f"))
-    items = F.array_sort(F.collect_list(F.struct("path", "module_id", F.concat("path", F.lit(" ("), "c", F.lit("C/"), "f", F.lit("F)")).alias("line"))))
-    return m.groupBy("repo").agg(F.array_join(F.transform(items, lambda x: x["line"]), "\n").alias("listing"))
+    at = F.row_number().over(Window.partitionBy("repo").orderBy("path", "module_id")).cast("bigint")
+    return m.select("repo", F.concat("path", F.lit(" ("), "c", F.lit("C/"), "f", F.lit("F)")).alias("line"), at.alias("position"))
 
 
 @query(f"WITH {_MOD} SELECT x AS package, count(DISTINCT module_id) AS modules FROM (SELECT module_id, unnest(external_imports) AS x FROM m) WHERE x IS NOT NULL GROUP BY 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import windows as W
@@ -45,7 +46,7 @@ def debounce_session(spark, d):
 )
 def stream_session(spark, d):
     stream = changes.read_stream(spark, f"{d}/events.parquet")
-    return changes.run_to_table(changes.debounce(stream, ["user_id"], "ts", "30 minutes")).withColumn("started", F.unix_micros("started"))
+    return changes.run_to_table(changes.debounce(stream, ["user_id"], "ts", "30 minutes"), "complete").withColumn("started", F.unix_micros("started"))
 
 
 @query()
@@ -75,11 +76,13 @@ def distinct_sources(spark, d):
     SELECT source_id, sink_id, CASE WHEN EXISTS (SELECT 1 FROM s v WHERE v.event_type = 'view' AND v.user_id = p.user_id AND v.day = p.day AND v.ts > t1 AND v.ts < t2) THEN 'low' WHEN t1 < t2 THEN 'medium' ELSE 'high' END AS risk FROM p"""
 )
 def risk_theta(spark, d):
-    s = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", "event_type")
+    day = F.to_date("ts")
+    s = table(spark, d, "events").select("user_id", day.alias("day"), "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "event_type")
+    # the first view after each event: a pair is clean if it comes before the sink, so no list of views is kept
+    later = Window.partitionBy("user_id", "day").orderBy("at").rangeBetween(1, Window.unboundedFollowing)
+    s = s.withColumn("view", F.min(F.when(F.col("event_type") == "view", F.col("at"))).over(later))
     k = ["user_id", "day"]
-    a = s.where("event_type = 'error'").select(*k, F.col("ts").alias("t1"), F.col("event_id").alias("source_id"))
-    b = s.where("event_type = 'purchase'").select(*k, F.col("ts").alias("t2"), F.col("event_id").alias("sink_id"))
-    views = s.where("event_type = 'view'").groupBy(*k).agg(F.array_sort(F.collect_list("ts")).alias("views"))
-    p = a.join(b, k).join(views, k, "left")
-    clean = F.coalesce(F.exists("views", lambda v: (v > F.col("t1")) & (v < F.col("t2"))), F.lit(False))
-    return p.select("source_id", "sink_id", F.when(clean, "low").when(F.col("t1") < F.col("t2"), "medium").otherwise("high").alias("risk"))
+    a = s.where("event_type = 'error'").select(*k, F.col("at").alias("t1"), "view", F.col("event_id").alias("source_id"))
+    b = s.where("event_type = 'purchase'").select(*k, F.col("at").alias("t2"), F.col("event_id").alias("sink_id"))
+    clean = F.coalesce(F.col("view") < F.col("t2"), F.lit(False))
+    return a.join(b, k).select("source_id", "sink_id", F.when(clean, "low").when(F.col("t1") < F.col("t2"), "medium").otherwise("high").alias("risk"))

@@ -30,9 +30,7 @@ def scan(spark: SparkSession, folder: str, exclude: list[str] | None = None, onl
     below a folder. Infrastructure files are kept whatever is excluded. Contents are read only if a later
     step asks for them."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    root = folder.rstrip("/") + "/"
-    rel = F.expr(f"substring(path, locate('{root}', path) + {len(root)})")
-    f = raw.select(slashes(rel).alias("path"), "length", F.col("modificationTime").alias("changed"), "content")
+    f = raw.select(_below(folder), "length", F.col("modificationTime").alias("changed"), "content")
     patterns = list(dict.fromkeys([*EXCLUDES, *(exclude or [])]))
     infra = infrastructure(F.col("path"))
     code = extension(F.col("path")).isin(list(CODE)) & ~excluded(F.col("path"), patterns)
@@ -118,15 +116,29 @@ def source_of_page(pages: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def write_pages(pages: DataFrame, folder: str) -> None:
-    """One text file per page (columns ``page, markdown``), written by the tasks."""
+    """One text file per page (columns ``page, markdown``) in a folder of its name, by the writer, so that
+    ``folder`` may lie in any file system that the cluster shares."""
+    pages.select("page", F.col("markdown").alias("value")).repartition("page").write.mode("overwrite").partitionBy("page").text(folder)
+
+
+def list_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """``path`` of every Markdown file below a folder, in order."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder)
+    return raw.select(_below(folder)).orderBy("path")
+
 
-    def run(rows):
-        import os
+def find_sql(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, content`` of every SQL file below a folder, whatever is excluded elsewhere; each once."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.sql").load(folder)
+    return raw.select(_below(folder), F.decode("content", "UTF-8").alias("content")).dropDuplicates(["path"])
+
+
+def _below(folder: str) -> Column:
+    root = folder.rstrip("/") + "/"
+    at = F.instr("path", root)
+    return slashes(F.expr("path").substr(at + F.lit(len(root)), F.length("path"))).alias("path")
 
-        for r in rows:
-            at = os.path.join(folder, r["page"])
-            os.makedirs(os.path.dirname(at), exist_ok=True)
-            with open(at, "w", encoding="utf-8") as f:
-                f.write(r["markdown"])
 
-    pages.select("page", "markdown").foreachPartition(run)
+def save_state(df: DataFrame, path: str) -> None:
+    """A run's totals, one row, as one JSON file."""
+    df.coalesce(1).write.mode("overwrite").json(path)

@@ -21,8 +21,10 @@ def debounce(events: DataFrame, key: list[str], at: str, gap: str, watermark: st
     return s.select(*key, F.col("w.start").alias("started"), "events")
 
 
-def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there now and returns what it has written."""
+def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there now and returns what it has written, in the shared folder. In append
+    mode a row is written once the watermark has passed it and its state is dropped; ``complete`` keeps the
+    state of all keys and is for results of bounded size."""
     spark = stream.sparkSession
     base = os.path.join(checkpoint_dir(spark), uuid.uuid4().hex)
     got: list[str] = []
