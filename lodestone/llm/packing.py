@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, spread
 
+#: The default tokenizer file; the environment or a parameter names another.
 TOKENIZER = os.environ.get("LODESTONE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 
 
@@ -112,13 +113,15 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
 def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
     """``key, tokens``; null texts have 0 tokens."""
     name = tokenizer or TOKENIZER
+    documents.sparkSession.sparkContext.addFile(name)  # executors need not have it where the driver does
     data = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")))
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from pyspark import SparkFiles
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(name)
+        tok = Tokenizer.from_file(SparkFiles.get(os.path.basename(name)))
         tok.encode_special_tokens = True
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..session import table
@@ -119,6 +120,21 @@ def p6_fill(spark, d):
     return packing.container_stats(packing.fill_containers(table(spark, d, "documents")))
 
 
+@query("SELECT count(DISTINCT doc_id) AS documents, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS overlapping, CAST(0 AS BIGINT) AS split_without_need, CAST(0 AS BIGINT) AS wrong_sizes FROM documents")
+def p6_invariants(spark, d):
+    """What the containers must be: every document in them, none overfull, no two documents in one place, none
+    split that fits, and the sizes of its pieces those of its tokens."""
+    documents = table(spark, d, "documents")
+    got = packing.fill_containers(documents)
+    full = got.groupBy("container").agg(F.sum("tokens").alias("n")).agg(F.count_if(F.col("n") > 2048).alias("overfull"))
+    w = Window.partitionBy("container").orderBy("offset", "doc_id")
+    apart = got.where("tokens > 0").withColumn("end", F.lag(F.col("offset") + F.col("tokens")).over(w)).agg(F.count_if(F.col("offset") < F.coalesce("end", F.lit(0))).alias("overlapping"))
+    sizes = packing.token_counts(documents).dropDuplicates(["key"]).withColumnRenamed("key", "doc_id")
+    per = got.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("sum")).join(sizes, "doc_id")
+    whole = per.agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= 2048)).alias("split_without_need"), F.count_if(F.col("sum") != F.col("tokens")).alias("wrong_sizes"))
+    return whole.crossJoin(full).crossJoin(apart)  # one row each
+
+
 # 7 evaluation texts leaking into training text -------------------------------------------------
 @query()
 def p7_found(spark, d):
@@ -141,3 +157,17 @@ def p8_found(spark, d):
 @query()
 def p8_sentences(spark, d):
     return sentences.split_sentences(table(spark, d, "documents"))
+
+
+@query("SELECT doc_id, true AS ordered, true AS trimmed, true AS numbered FROM documents WHERE regexp_matches(text, '\\S') GROUP BY doc_id")
+def p8_invariants(spark, d):
+    """What the sentences of every text that is not blank must be: in order without overlap, without white
+    space at their ends, numbered from 1."""
+    w = Window.partitionBy("doc_id").orderBy("start_pos")
+    got = sentences.split_sentences(table(spark, d, "documents")).withColumns({"before": F.lag("end_pos").over(w), "n": F.row_number().over(w)})
+    text = F.col("text")
+    return got.groupBy("doc_id").agg(
+        F.min((F.col("start_pos") >= F.coalesce("before", F.lit(0))) & (F.col("end_pos") > F.col("start_pos"))).alias("ordered"),
+        F.min((F.length(text) == F.col("end_pos") - F.col("start_pos")) & ~text.rlike(r"^\s|\s$")).alias("trimmed"),
+        F.min(F.col("n") == F.col("sentence")).alias("numbered"),
+    )
