@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +26,19 @@ def session(name: str = "lodestone", cores: str | int = "*", **conf) -> SparkSes
         builder = builder.config(k.replace("__", "."), v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, where it is not installed on them (or give its archive to
+    ``spark-submit --py-files``)."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp()
+    name = os.path.basename(root)
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, name), "zip", os.path.dirname(root), name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
