@@ -179,9 +179,10 @@ def parse_typescript(path: str, text: str) -> dict:
             name, _, kind = name.partition(":")
             args.append({"name": name.strip(" .?"), "type_annotation": kind.strip() or None, "default": default.strip() or None})
         doc = _doc_before(text, m.start())
-        ret = re.match(r"\s*:\s*([^={]+)", masked[close + 1 : brace] if brace > close else "")
+        stop = brace if brace >= 0 else masked.find("=>", close) if arrow else close + 1
+        typed = text[close + 1 : stop].strip().removesuffix("=>").rstrip()
         start = m.start() + len(m[0]) - len(m[0].lstrip())
-        return {"name": m[1], "docstring": doc, "args": args, "returns": ret[1].strip() if ret else None, "anchor": {"file": path, "line": line(start)}, "end_line": line(end), "decorators": []}, m.start(), end, arrow
+        return {"name": m[1], "docstring": doc, "args": args, "returns": typed[1:].strip() if typed.startswith(":") else None, "anchor": {"file": path, "line": line(start)}, "end_line": line(end), "decorators": []}, m.start(), end, arrow
 
     classes, spans = [], []
     for m in _CLASS.finditer(masked):

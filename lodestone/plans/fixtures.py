@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import parse as P
 from ..operators import labels as L
 from ..operators import resolve as R
 from ..operators import windows as W
+from ..session import checkpoint_dir
+from ..sources import files as S
 from .catalog import query
 
 
@@ -202,3 +208,121 @@ def infra_nodes(spark, d):
     nodes = spark.createDataFrame([("a.py",)], "path string")
     more = spark.createDataFrame([("a.py", True), ("Dockerfile", True)], "path string, is_infra boolean")
     return L.camel_case(R.add_missing(nodes, more))
+
+
+_TREE = {
+    "main.py": "print(1)\n", "pkg/__init__.py": "", "pkg/deep/er/util.ts": "export const a = 1;\n", "pkg/notes.txt": "no code\n", "pkg/x.pyc": "no", "node_modules/lib/index.js": "x", "pkg/node_modules/Dockerfile": "FROM x\n",
+    "Dockerfile": "FROM x\n", ".github/workflows/ci.yml": "on: push\n", "db/schema.sql": _DDL, "build/out.py": "x = 1\n", "docs/b.md": "# B\n", "docs/a/a.md": "# A\n", "gen/skip.py": "y = 1\n",
+}
+
+
+def _folder(spark) -> str:
+    """The tree above as files, in the shared folder."""
+    base = os.path.join(checkpoint_dir(spark).removeprefix("file://"), f"tree-{uuid.uuid4().hex}")
+    for name, text in _TREE.items():
+        at = os.path.join(base, name)
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        with open(at, "w", encoding="utf-8") as f:
+            f.write(text)
+    return base
+
+
+@query(_values("path, language, size", (".github/workflows/ci.yml", "infra", 9), ("Dockerfile", "infra", 7), ("db/schema.sql", "infra", len(_DDL)), ("main.py", "python", 9), ("pkg/__init__.py", "python", 0), ("pkg/deep/er/util.ts", "typescript", 20)))
+def scan_folder(spark, d):
+    """A scan: excluded folders pruned, hidden and underscored files kept, one more exclusion given."""
+    return S.scan(spark, _folder(spark), ["gen/"]).select("path", "language", F.length("content").alias("size"))
+
+
+@query(_values("path", (".github/workflows/ci.yml",), ("Dockerfile",), ("db/schema.sql",)))
+def scan_infrastructure(spark, d):
+    return S.scan(spark, _folder(spark), only_infrastructure=True, contents=False).select("path")
+
+
+@query(_values("path", ("main.py",), ("pkg/deep/er/util.ts",)))
+def scan_partial(spark, d):
+    files = S.scan(spark, _folder(spark), contents=False)
+    wanted = spark.createDataFrame([(x,) for x in ("main.py", "pkg/deep/er/util.ts", "Dockerfile", "build/out.py", "gone.py")], "path string")
+    return S.partial(files, wanted).select("path")
+
+
+@query(_values("path", ("docs/a/a.md",), ("docs/b.md",)))
+def wiki_pages(spark, d):
+    return S.list_pages(spark, _folder(spark))
+
+
+@query(_values("table_name, column_name", ("orders", "id"), ("orders", "user_id"), ("orders", "note")))
+def sql_files(spark, d):
+    return P.extract(S.find_sql(spark, _folder(spark)), "ddl").select("table_name", "column_name")
+
+
+@query(_values("path, hash", ("main.py", hashlib.md5(b"print(1)\n").hexdigest()), ("pkg/__init__.py", hashlib.md5(b"").hexdigest())))
+def hash_snapshot(spark, d):
+    """Hashes of a scan, saved, loaded and taken up by an upsert."""
+    folder = _folder(spark)
+    now = S.scan(spark, folder).where("path IN ('main.py', 'pkg/__init__.py')").select("path", F.md5("content").alias("hash"))
+    at = os.path.join(folder, "..", f"hashes-{uuid.uuid4().hex}")
+    S.save(spark.createDataFrame([("main.py", "stale")], "path string, hash string"), at)
+    return R.upsert(S.load_snapshot(spark, at, "path string, hash string"), now, "path")
+
+
+@query(_values("path, content", ("docs/b.md", "# B\n")))
+def read_limits(spark, d):
+    """Reading a directory within its limits, and one document."""
+    files = spark.createDataFrame([("docs/b.md", "# B\n"), ("docs/big.md", "x" * 300_000), ("docs/.hidden/c.md", "c")], "path string, content string")
+    few = S.read_directory(files)
+    return few.join(S.read_document(files, "docs/b.md").select("path"), "path", "left_semi").unionByName(S.read_document(files, "../x").select("path", "content"))
+
+
+_PY_MODULE = '"""About."""\nimport os\nimport pkg.mod\nfrom . import near\n\n\n@dec(1)\nclass K(Base, m.Mixin):\n    """Class."""\n\n    async def go(self, a: int = 1, *, b="x") -> str:\n        """Goes."""\n        return b\n\n\ndef top(x, /, y=None):\n    def inner():\n        pass\n    return inner\n'
+_TS_MODULE = "import React from 'react';\nimport { a } from './near';\n/** Says it. */\nexport function say(name: string, loud = false): { ok: boolean } {\n  return { ok: loud };\n}\nexport const View = ({ id }: Props) => {\n  const [s, set] = useState(0);\n  return <div>{id}</div>;\n};\nexport interface Shape { area: number; name?: string }\nclass Box extends Base implements Shape {\n  size(): number { return 1; }\n}\n"
+
+
+def _module(spark, path, text):
+    return P.modules_of(_file(spark, path, text))
+
+
+@query(
+    _values(
+        "owner, name, args, returns, docstring, line, end_line",
+        ("K", "go", "self::,a:int:1,b::'x'", "str", "Goes.", 11, 13), (None, "top", "x::,y::None", None, None, 16, 19),
+    )
+)
+def python_module(spark, d):
+    """Functions and methods of a Python file with their arguments; nested functions belong to their parent."""
+    return _callables(_module(spark, "a.py", _PY_MODULE))
+
+
+@query(
+    _values(
+        "owner, name, args, returns, docstring, line, end_line",
+        (None, "say", "name:string:,loud::false", "{ ok: boolean }", "Says it.", 4, 6), (None, "View", "{ id }:Props:", None, None, 7, 10), ("Box", "size", "", "number", None, 13, 13),
+    )
+)
+def typescript_module(spark, d):
+    return _callables(_module(spark, "a.tsx", _TS_MODULE))
+
+
+def _callables(m):
+    show = lambda a: F.concat(a["name"], F.lit(":"), F.coalesce(a["type_annotation"], F.lit("")), F.lit(":"), F.coalesce(a["default"], F.lit("")))
+    f = m.select(F.lit(None).cast("string").alias("owner"), F.explode("functions").alias("x")).unionByName(m.select(F.explode("classes").alias("c")).select(F.col("c.name").alias("owner"), F.explode("c.methods").alias("x")))
+    return f.select("owner", F.col("x.name").alias("name"), F.array_join(F.transform("x.args", show), ",").alias("args"), F.col("x.returns").alias("returns"), F.col("x.docstring").alias("docstring"), F.col("x.anchor.line").alias("line"), F.col("x.end_line").alias("end_line"))
+
+
+@query(
+    _values(
+        "path, docstring, imports, external, exports, classes, interfaces, components, total_lines",
+        ("a.py", "About.", ".,pkg.mod", "os", "", "K(Base,m.Mixin)", "", "", 20), ("a.tsx", None, "./near,react", "react", "Shape,View,say", "Box(Base,Shape)", "Shape(area:number,name:string)", "View[useState]", 15),
+        ("b.py", "[Syntax Error]", "", "", "", "", "", "", 1), ("Dockerfile", None, "", "", "", "", "", "", 2),
+    )
+)
+def module_records(spark, d):
+    """The other parts of module records, of files in each language, one that cannot be parsed and one without code."""
+    files = spark.createDataFrame([("a.py", _PY_MODULE), ("a.tsx", _TS_MODULE), ("b.py", "def (:"), ("Dockerfile", "FROM x\n")], "path string, content string")
+    text = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
+    named = lambda column, f: text(F.transform(column, f))
+    return P.modules_of(files).select(
+        "path", F.regexp_replace("docstring", r"(\[Syntax Error\]).*", "$1").alias("docstring"), text("imports").alias("imports"), text("external_imports").alias("external"), text("exports").alias("exports"),
+        named("classes", lambda c: F.concat(c["name"], F.lit("("), text(c["bases"]), F.lit(")"))).alias("classes"),
+        named("interfaces", lambda i: F.concat(i["name"], F.lit("("), text(F.transform(i["members"], lambda x: F.concat_ws(":", x["name"], x["type"]))), F.lit(")"))).alias("interfaces"),
+        named("components", lambda c: F.concat(c["name"], F.lit("["), text(c["hooks"]), F.lit("]"))).alias("components"), "total_lines",
+    )

@@ -10,7 +10,7 @@ from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import resolve as R
 from ..operators import windows as W
-from ..session import table
+from ..session import cut, table
 from .catalog import query
 from .code import _CALLABLE, _CC, _CUR, _FN, _INNER, _MOD, _case, _delta, _m
 from .corpus import CALLS, calls_of
@@ -116,7 +116,7 @@ def sync_decision(spark, d):
 )
 def icfg_summary(spark, d):
     """The callable with most callers, its first ten callers and callees, and all calls."""
-    c = calls_of(spark, d)
+    c = cut(calls_of(spark, d))
     top = c.where("src <> dst").groupBy("dst").count().orderBy(F.desc("count"), "dst").limit(1).select(F.col("dst").alias("id"))
     return G.around(c, top, 10).crossJoin(c.agg(F.count("*").alias("edges")))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import fnmatch
+import os
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -25,17 +29,96 @@ def language(path: Column) -> Column:
     return out.when(infrastructure(path), "infra")
 
 
-def scan(spark: SparkSession, folder: str, exclude: list[str] | None = None, only_infrastructure: bool = False) -> DataFrame:
-    """``path`` (relative), ``language, length, changed, content`` of the code and infrastructure files
-    below a folder. Infrastructure files are kept whatever is excluded. Contents are read only if a later
-    step asks for them."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    f = raw.select(_below(folder), "length", F.col("modificationTime").alias("changed"), "content")
+def _pruned(folder: str, patterns: list[str]) -> bool:
+    """Whether a folder (relative, with a slash at its end) is not descended into."""
+    name = folder.rstrip("/").rsplit("/", 1)[-1]
+    for p in patterns:
+        if fnmatch.fnmatch(folder, p) or fnmatch.fnmatch(name, p.rstrip("/")):
+            return True
+        if p.endswith("/") and ("/" + p) in ("/" + folder):
+            return True
+    return False
+
+
+def _entries(root: str, inside: str, patterns: list[str]) -> tuple[list[str], list[tuple]]:
+    """The folders below one folder that are descended into, and its files."""
+    folders, files = [], []
+    with os.scandir(os.path.join(root, inside)) as found:
+        for x in found:
+            if x.is_dir(follow_symlinks=False):
+                if not _pruned(inside + x.name + "/", patterns):
+                    folders.append(inside + x.name + "/")
+            elif x.is_file():
+                files.append((inside + x.name, x.stat().st_size, x.stat().st_mtime))
+    return sorted(folders), files
+
+
+def _walk(spark: SparkSession, root: str, patterns: list[str]) -> DataFrame:
+    """``path, length, changed`` of all files below a folder of a mounted file system, hidden ones included.
+    The folders of the first two levels are listed here, what lies below them by the tasks."""
+    tops, files = _entries(root, "", patterns)
+    deep: list[str] = []
+    for top in tops:
+        below, more = _entries(root, top, patterns)
+        deep.extend(below)
+        files.extend(more)
+    shape = "path string, length bigint, changed double"
+
+    def run(batches):
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                todo = [folder]
+                while todo:
+                    below, got = _entries(root, todo.pop(), patterns)
+                    todo.extend(below)
+                    if got:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.string(), pa.int64(), pa.float64()))], ["path", "length", "changed"])
+
+    first = spark.createDataFrame(files, shape)
+    if not deep:
+        return first
+    return first.unionByName(spark.createDataFrame([(x,) for x in deep], "folder string").repartition(min(len(deep), 4096)).mapInArrow(run, shape))
+
+
+def _read(files: DataFrame, root: str) -> DataFrame:
+    """The text of each file; bytes that are no UTF-8 are replaced, files that have gone are null."""
+    names = files.columns
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for p in b.column(names.index("path")).to_pylist():
+                try:
+                    with open(os.path.join(root, p), "rb") as f:
+                        out.append(f.read().decode("utf-8", "replace"))
+                except OSError:
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*names, "content"])
+
+    return files.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in files.dtypes) + ", content string")
+
+
+def scan(spark: SparkSession, folder: str, exclude: list[str] | None = None, only_infrastructure: bool = False, contents: bool = True) -> DataFrame:
+    """``path`` (relative), ``length, changed, language`` and, if asked for, ``content`` of the code and
+    infrastructure files below a folder. Excluded folders are not descended into; code files may be excluded
+    by name, infrastructure files may not. Hidden files and those that begin with an underscore count, in a
+    file system that is mounted (a path or ``file:``); of any other Spark's own listing leaves them out and
+    excluded folders are dropped after they are listed."""
     patterns = list(dict.fromkeys([*EXCLUDES, *(exclude or [])]))
-    infra = infrastructure(F.col("path"))
-    code = extension(F.col("path")).isin(list(CODE)) & ~excluded(F.col("path"), patterns)
-    keep = infra & ~extension(F.col("path")).isin(list(CODE)) if only_infrastructure else infra | code
-    return f.where(keep).withColumn("language", language(F.col("path"))).withColumn("content", F.decode("content", "UTF-8"))
+    mounted = "://" not in folder or folder.startswith("file:")
+    root = folder.removeprefix("file:").replace("//", "/", 1) if folder.startswith("file:") else folder
+    if mounted:
+        f = _walk(spark, root, patterns).withColumn("changed", F.timestamp_micros((F.col("changed") * 1_000_000).cast("bigint")))
+    else:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+        f = raw.select(_below(folder), "length", F.col("modificationTime").alias("changed"), *([F.decode("content", "UTF-8").alias("content")] if contents else []))
+        for x in [x for x in patterns if x.endswith("/")]:
+            f = f.where(~excluded(F.col("path"), [x]))
+    code_name = extension(F.col("path")).isin(list(CODE))
+    code = code_name & ~excluded(F.col("path"), patterns)
+    infra = infrastructure(F.col("path")) & ~code_name
+    f = f.where(infra if only_infrastructure else infra | code).withColumn("language", language(F.col("path")))
+    return _read(f, root) if mounted and contents else f
 
 
 def partial(files: DataFrame, wanted: DataFrame, key: str = "path") -> DataFrame:
