@@ -201,6 +201,15 @@ def coverage_rate(e: DataFrame, is_test) -> DataFrame:
     return coverage(e, is_test).agg(F.count("*").alias("covered")).crossJoin(own).withColumn("rate", F.round(F.col("covered") / F.col("production"), 3))
 
 
+def coupling(vertices: DataFrame, e: DataFrame) -> DataFrame:
+    """One row over the vertices (column ``node``): ``average`` and ``most`` edges that leave one, how many are
+    ``isolated``, and their number ``callables``."""
+    out = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
+    hit = e.select(F.col("dst").alias("node")).distinct().withColumn("hit", F.lit(True))
+    v = vertices.distinct().join(out, "node", "left").join(hit, "node", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+    return v.agg(F.round(F.avg("n"), 4).alias("average"), F.max("n").alias("most"), F.count_if((F.col("n") == 0) & F.col("hit").isNull()).alias("isolated"), F.count("*").alias("callables"))
+
+
 def around(e: DataFrame, centre: DataFrame, k: int = 10) -> DataFrame:
     """One row for the node of ``centre`` (column ``id``): its first ``callers`` and ``callees`` by name."""
     near = e.join(F.broadcast(centre.select(F.col("id").alias("dst"))), "dst", "left_semi").orderBy("src").limit(k)

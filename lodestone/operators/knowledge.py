@@ -99,3 +99,15 @@ def module_pages(modules: DataFrame, edges: DataFrame, limit: int = 28000, conte
         "\n\n", F.concat(F.lit("# "), "path"), "docstring", section("Classes", names(F.col("classes"))), section("Functions", names(F.col("functions"))), section("Depends on", items(F.col("uses"))), section("Used by", items(F.col("used_by")))
     )
     return j.select("path", role(F.regexp_replace("path", "^[^/]*/", "")).alias("role"), F.substring(text, 1, limit).alias("markdown"))
+
+
+def dependency_context(modules: DataFrame, edges: DataFrame, few: int = 8) -> DataFrame:
+    """``path, direction, position, other, summary``: the first modules that each one depends on and that
+    depend on it, with their documentation or else their size; those without a record are left out."""
+    size = lambda c: F.greatest(F.size(F.filter(c, lambda x: x.isNotNull())), F.lit(0))
+    text = F.format_string("%d entities, %d lines", size("classes") + size("functions") + size("interfaces"), F.coalesce("total_lines", F.lit(0)))
+    told = modules.select(slashes(F.col("path")).alias("other"), F.coalesce(F.nullif("docstring", F.lit("")), text).alias("summary")).groupBy("other").agg(F.min("summary").alias("summary"))
+    uses = edges.select(F.col("src").alias("path"), F.lit("depends on").alias("direction"), F.col("dst").alias("other"))
+    both = uses.union(edges.select("dst", F.lit("used by"), "src")).distinct()
+    first = top_per_group(both, ["path", "direction"], [F.col("other")], few).withColumnRenamed("rank", "position")
+    return first.join(told, "other").select("path", "direction", "position", "other", "summary")

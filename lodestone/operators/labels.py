@@ -60,8 +60,19 @@ def layer_diagram(edges: DataFrame, layer) -> DataFrame:
     return e.where("src_layer <> dst_layer").groupBy("src_layer", "dst_layer").agg(F.count("*").alias("edges"))
 
 
-def class_diagram(modules: DataFrame, per_module: int = 8, per_class: int = 6) -> DataFrame:
-    """``path, line``: class boxes with their first public methods and inheritance arrows."""
+def shown_modules(edges: DataFrame, most: int = 30, near: int = 20) -> DataFrame:
+    """``path`` of the modules with most edges, and of the first of those that share an edge with one."""
+    both = edges.select(F.col("src").alias("path"), F.col("dst").alias("other")).union(edges.select("dst", "src"))
+    top = both.groupBy("path").count().orderBy(F.desc("count"), "path").limit(most).select("path")
+    beside = both.join(F.broadcast(top), "path", "left_semi").select(F.col("other").alias("path")).distinct()  # as many as asked for
+    return top.union(beside.join(F.broadcast(top), "path", "left_anti").orderBy("path").limit(near))
+
+
+def class_diagram(modules: DataFrame, edges: DataFrame, per_module: int = 8, per_class: int = 6) -> DataFrame:
+    """``path, line``: of the modules that are shown, class boxes with their first public methods and
+    inheritance arrows."""
+    shown = F.broadcast(shown_modules(edges))
+    modules = modules.select(F.translate("path", "\\", "/").alias("path"), "classes").join(shown, "path", "left_semi")
     c = modules.select(F.translate("path", "\\", "/").alias("path"), F.posexplode("classes").alias("p", "c")).where("c IS NOT NULL AND c.name IS NOT NULL")
     c = c.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy("p"))).where(F.col("r") <= per_module)
     own = F.slice(F.filter(F.coalesce("c.methods", F.array()), lambda m: m.isNotNull() & ~F.coalesce(m["name"].startswith("_"), F.lit(True))), 1, per_class)

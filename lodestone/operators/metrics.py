@@ -34,6 +34,15 @@ def smells(functions: DataFrame) -> DataFrame:
     return per.groupBy("path").agg(F.sum("long").alias("long_functions"), F.sum("wide").alias("many_parameters"), F.count_if(F.col("owner").isNotNull() & (F.col("n") > 10)).alias("god_classes"))
 
 
+def smell_details(functions: DataFrame) -> DataFrame:
+    """``path, owner, name, smell, measure`` of each long function and each one with many parameters."""
+    kinds = F.array(
+        F.when(F.col("length") > 50, F.struct(F.lit("long function").alias("smell"), F.col("length").cast("bigint").alias("measure"))),
+        F.when(F.size("args") > 5, F.struct(F.lit("many parameters").alias("smell"), F.size("args").cast("bigint").alias("measure"))),
+    )
+    return functions.select("path", "owner", "name", F.explode(F.array_compact(kinds)).alias("s")).select("path", "owner", "name", "s.*")
+
+
 #: The factors of the health score, as (name, points) over the columns named below.
 def health_factors() -> list[tuple[str, Column]]:
     c, one = F.col, F.lit

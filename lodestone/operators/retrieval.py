@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -268,6 +269,31 @@ def rerank(candidates: DataFrame, texts: DataFrame, key: str, text: str, query:
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
+def embed(texts: DataFrame, key: str, text: str, embedder: Callable[[list[str]], list[list[float]]], width: int, batch: int = 100, retries: int = 3, wait: float = 0.0) -> DataFrame:
+    """``key, embedding, failed``: texts sent to an embedder in batches; a batch that raises is tried again up to
+    ``retries`` times, waiting ``wait`` seconds, twice as long each time; one that still fails gives vectors
+    of zeros. Null texts are empty ones."""
+    data = texts.select(key, F.coalesce(F.col(text), F.lit("")).alias("t"))
+
+    def run(batches):
+        for b in batches:
+            t, out, bad = b.column(1).to_pylist(), [], []
+            for i in range(0, len(t), batch):
+                part = t[i : i + batch]
+                for turn in range(retries + 1):
+                    try:
+                        got, failed = embedder(part), False
+                        break
+                    except Exception:
+                        got, failed = [[0.0] * width] * len(part), True
+                        time.sleep(wait * 2**turn)
+                out.extend(got)
+                bad.extend([failed] * len(part))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float32())), pa.array(bad, pa.bool_())], [key, "embedding", "failed"])
+
+    return data.mapInArrow(run, f"{key} {dict(texts.dtypes)[key]}, embedding array<float>, failed boolean")
+
+
 def hashing_embedder(texts: DataFrame, key: str, text: str, width: int = 64) -> DataFrame:
     """Deterministic stand-in for an embedding service: signed hashed words, normalised."""
 

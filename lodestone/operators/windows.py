@@ -66,6 +66,40 @@ def throttle(events: DataFrame, key: str, at: str, ident: str, terminal: Column,
     return ordered.mapInArrow(run, f"{key} {spark_key}, {ident} {dict(events.dtypes)[ident]}")
 
 
+def token_bucket(events: DataFrame, key: str, at: str, ident: str, rate: float, burst: int = 10) -> DataFrame:
+    """``key, ident, sent``: when each request may go, in seconds: a bucket of ``burst`` tokens is filled at
+    ``rate`` a second, a request takes one and waits for it, those of a key one after the other. Streamed like
+    ``throttle``."""
+    rows = events.select(F.col(key).alias("k"), (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("t"), F.col(ident).alias("i"))
+    ordered = rows.repartition("k").sortWithinPartitions("k", "t", "i")
+
+    def run(batches):
+        current, tokens, last = object(), float(burst), 0.0
+        for b in batches:
+            ks, ids, out = [], [], []
+            for k, t, i in zip(*(c.to_pylist() for c in b.columns)):
+                if k != current:
+                    current, tokens, last = k, float(burst), t
+                now = max(t, last)
+                tokens = min(float(burst), tokens + (now - last) * rate)
+                wait = max(0.0, (1.0 - tokens) / rate)
+                tokens, last = max(0.0, tokens - 1.0), now + wait
+                ks.append(k)
+                ids.append(i)
+                out.append(last)
+            yield pa.RecordBatch.from_arrays([pa.array(ks, b.schema.field(0).type), pa.array(ids, b.schema.field(2).type), pa.array(out, pa.float64())], [key, ident, "sent"])
+
+    kinds = dict(events.dtypes)
+    return ordered.mapInArrow(run, f"{key} {kinds[key]}, {ident} {kinds[ident]}, sent double")
+
+
+def live(rows: DataFrame, key: list[str], at: str, ident: str, ttl_seconds: float, now: Column) -> DataFrame:
+    """The newest entry of each key that is no older than its time to live; ties go to the larger ``ident``."""
+    last = rows.groupBy(*key).agg(F.max(F.struct(at, ident)).alias("x"))
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(f"x.{at}").cast("timestamp"))
+    return last.where(age <= ttl_seconds * 1_000_000).select(*key, F.col(f"x.{ident}").alias(ident))
+
+
 def accumulate(rows: DataFrame, key: list[str], order: str, text: str) -> DataFrame:
     """The text of each key so far, row by row, as a client that appends chunks would show it."""
     w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -20,7 +20,7 @@ def _m(spark, d):
 
 
 _MOD = "m AS (SELECT module_id, replace(any_value(path), '\\', '/') AS path, any_value(repo) AS repo, any_value(language) AS language, any_value(docstring) AS docstring, any_value(total_lines) AS total_lines, any_value(functions) AS functions, any_value(classes) AS classes, any_value(interfaces) AS interfaces, any_value(external_imports) AS external_imports, any_value(imports) AS imports FROM modules GROUP BY module_id)"
-_FN = """cl AS (SELECT path, unnest(classes) AS c FROM m), fx AS (SELECT path, NULL AS owner, unnest(functions) AS x FROM m UNION ALL SELECT path, c.name, unnest(c.methods) FROM cl WHERE c IS NOT NULL),
+_FN = """cl AS (SELECT path, unnest(classes) AS c FROM m), fx AS (SELECT path, CAST(NULL AS VARCHAR) AS owner, unnest(functions) AS x FROM m UNION ALL SELECT path, c.name, unnest(c.methods) FROM cl WHERE c IS NOT NULL),
  fn AS (SELECT path, owner, x.name AS name, x.docstring AS docstring, coalesce(list_filter(x.args, lambda a: a IS NOT NULL), []) AS args,
         CASE WHEN x.end_line > 0 AND x.anchor.line IS NOT NULL THEN x.end_line - x.anchor.line END AS length, x.anchor.line AS line, x.end_line AS end_line FROM fx WHERE x IS NOT NULL)"""
 _CALLABLE = """ca AS (SELECT id, max({'s': start_line, 'e': end_line, 'n': name, 'm': module}) AS s FROM (SELECT path || '::' || CASE WHEN owner IS NULL THEN '' ELSE owner || '.' END || name AS id, name, path AS module,

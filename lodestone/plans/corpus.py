@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import knowledge as K
 from ..operators import resolve as R
 from ..functions import classify as C
-from ..session import cut, table
+from ..session import checkpoint_dir, cut, table
 from ..sources import files as S
 from .catalog import SQL, query
 from .code import _INNER, _MOD, IMPLEMENTS, INHERITS, _m
@@ -121,3 +123,11 @@ _NAMES = "array_to_string(list_transform(list_filter({0}, lambda x: x IS NOT NUL
 )
 def module_pages(spark, d):
     return K.module_pages(_m(spark, d), G.edges(table(spark, d, "dep_edges")))
+
+
+@query(f"WITH {_KG} SELECT id, type, name FROM nodes")
+def knowledge_saved(spark, d):
+    """The nodes as they come back from where they were stored."""
+    at = f"{checkpoint_dir(spark)}/knowledge-{uuid.uuid4().hex}"
+    S.save(_graph(spark, d)[0], at)
+    return S.load_snapshot(spark, at, "id string, type string, name string")

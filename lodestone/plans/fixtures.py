@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import parse as P
 from ..operators import labels as L
 from ..operators import resolve as R
+from ..operators import retrieval as T
 from ..operators import windows as W
 from ..session import checkpoint_dir
 from ..sources import files as S
+from ..streaming import changes
 from .catalog import query
 
 
@@ -326,3 +328,46 @@ def module_records(spark, d):
         named("interfaces", lambda i: F.concat(i["name"], F.lit("("), text(F.transform(i["members"], lambda x: F.concat_ws(":", x["name"], x["type"]))), F.lit(")"))).alias("interfaces"),
         named("components", lambda c: F.concat(c["name"], F.lit("["), text(c["hooks"]), F.lit("]"))).alias("components"), "total_lines",
     )
+
+
+@query(_values("id, sent", (1, 0.0), (2, 0.0), (3, 1.0), (4, 2.0)))
+def rate_limit(spark, d):
+    rows = [(1, 0.0), (2, 0.0), (3, 0.0), (4, 1.5)]
+    e = spark.createDataFrame(rows, "id long, t double").withColumns({"k": F.lit("calls"), "ts": F.timestamp_micros((F.col("t") * 1_000_000).cast("bigint"))})
+    return W.token_bucket(e, "k", "ts", "id", 1.0, 2).select("id", "sent")
+
+
+@query(_values("id, step", (1, 1), (3, 2), (2, 3)))
+def mmr_order(spark, d):
+    """The second choice differs from the first, though another is nearer to the query."""
+    rows = [(1, [1.0, 0.0], 0.9), (2, [1.0, 0.05], 0.89), (3, [0.0, 1.0], 0.7)]
+    return T.mmr(spark.createDataFrame(rows, "id long, v array<double>, rel double"), "id", "v", "rel")
+
+
+@query(_values("id, first, failed", (1, 2.0, False), (2, 0.0, True), (3, 0.0, True), (4, 0.0, False)))
+def embedding_batches(spark, d):
+    """Batches of an embedder that refuses one text: the others of its batch fail with it."""
+
+    def embedder(texts):
+        if "bad" in texts:
+            raise ValueError("refused")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    rows = spark.createDataFrame([(2, "bad"), (3, "xyz"), (1, "ab"), (4, None)], "id long, t string").coalesce(1)
+    return T.embed(rows, "id", "t", embedder, 2, batch=2).select("id", F.col("embedding")[0].cast("double").alias("first"), "failed")
+
+
+@query(_values("path, change", ("docs/a/a.md", "changed"), ("docs/b.md", "added"), ("gone.md", "deleted")))
+def watched_changes(spark, d):
+    """A stream over a folder's pages, run over what is there and compared with stored hashes."""
+    folder = _folder(spark)
+    seen = changes.run_to_table(changes.file_changes(spark, folder, "*.md")).select(F.element_at(F.split("path", "/tree-[0-9a-f]+/"), -1).alias("path"), "hash")
+    return R.delta(seen, spark.createDataFrame([("docs/a/a.md", "old"), ("gone.md", "x")], "path string, hash string"))
+
+
+@query(_values("modules, edges, missing", (2, 1, True)))
+def stored_state(spark, d):
+    """A run's totals, written as JSON and read again; what is not there is none."""
+    at = f"{checkpoint_dir(spark)}/state-{uuid.uuid4().hex}"
+    S.save_state(spark.createDataFrame([(2, 1)], "modules long, edges long"), at)
+    return S.load_or_none(spark, at).withColumn("missing", F.lit(S.load_or_none(spark, at + "-no") is None))

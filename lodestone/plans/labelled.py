@@ -11,7 +11,7 @@ from ..operators import windows as W
 from ..session import table
 from ..sources import files as S
 from .catalog import query
-from .code import _m
+from .code import _MOD, _m
 
 
 _MARKED = "CASE WHEN doc_id % 3 = 0 THEN text || ' [@src:src/a' || doc_id || '.py:' || (doc_id % 90) || ']' ELSE text END"
@@ -61,9 +61,19 @@ def layer_diagram(spark, d):
     return L.layer_diagram(G.edges(table(spark, d, "dep_edges")), lambda c: C.layer(C.in_repo(c), C.TOUR_LAYERS))
 
 
-@query()
+_SAFE = "CASE WHEN regexp_matches(regexp_replace({0}, '[^A-Za-z0-9_]', '_', 'g'), '^[0-9]') THEN 'n_' ELSE '' END || regexp_replace({0}, '[^A-Za-z0-9_]', '_', 'g')"
+
+
+@query(
+    f"""WITH {_MOD}, g AS (SELECT DISTINCT src, dst FROM dep_edges WHERE src IS NOT NULL AND dst IS NOT NULL), b AS (SELECT src AS path, dst AS other FROM g UNION ALL SELECT dst, src FROM g), t AS (SELECT path FROM b GROUP BY path ORDER BY count(*) DESC, path LIMIT 30),
+    n AS (SELECT DISTINCT other AS path FROM b WHERE path IN (SELECT path FROM t) AND other NOT IN (SELECT path FROM t) ORDER BY path LIMIT 20), v AS (SELECT path FROM t UNION SELECT path FROM n),
+    c AS (SELECT module_id, path, unnest(range(1, len(classes) + 1)) AS p, unnest(classes) AS c FROM m WHERE path IN (SELECT path FROM v)), r AS (SELECT path, c, row_number() OVER (PARTITION BY path ORDER BY p) AS r FROM c WHERE c.name IS NOT NULL),
+    k AS (SELECT path, c FROM r WHERE r <= 8), a AS (SELECT path, c.name AS n, unnest(c.bases) AS b FROM k)
+    SELECT path, '    class ' || {_SAFE.format('c.name')} || ' {{' || chr(10) || array_to_string(list_transform(list_slice(list_filter(coalesce(c.methods, []), lambda x: x IS NOT NULL AND NOT coalesce(starts_with(x.name, '_'), false)), 1, 6), lambda x: '        +' || x.name || '()'), chr(10)) || chr(10) || '    }}' AS line FROM k
+    UNION SELECT path, '    ' || {_SAFE.format('b')} || ' <|-- ' || {_SAFE.format('n')} FROM a WHERE b IS NOT NULL"""
+)
 def class_diagram(spark, d):
-    return L.class_diagram(_m(spark, d))
+    return L.class_diagram(_m(spark, d), G.edges(table(spark, d, "dep_edges")))
 
 
 @query("SELECT user_id, event_id, string_agg(event_type, '') OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS so_far FROM events")

@@ -55,10 +55,15 @@ def throttle(spark, d):
     return W.throttle(e, "user_id", "ts", "event_id", F.col("event_type") == "error", 3600.0)
 
 
-@query("SELECT user_id, event_type, max(event_id) AS event_id FROM (SELECT *, rank() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) AS r FROM events) WHERE r = 1 GROUP BY 1, 2")
+@query(
+    """WITH n AS (SELECT max(ts) AS now FROM events), r AS (SELECT *, rank() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) AS r FROM events)
+    SELECT user_id, event_type, max(event_id) AS event_id FROM r, n WHERE r = 1 AND epoch_us(now) - epoch_us(ts) <= 604800000000 GROUP BY 1, 2"""
+)
 def ttl_latest(spark, d):
-    last = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max(F.struct("ts", "event_id")).alias("x"))
-    return last.select("user_id", "event_type", F.col("x.event_id").alias("event_id"))
+    """The newest event of each kind, while it is no older than a week at the last event."""
+    e = table(spark, d, "events")
+    now = e.agg(F.max("ts").alias("now")).first()["now"]
+    return W.live(e, ["user_id", "event_type"], "ts", "event_id", 604800, F.lit(now))
 
 
 @query("SELECT p_brand, p_partkey, rank FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part) WHERE rank <= 8")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..operators import graph as G
+from ..operators import knowledge as K
 from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import resolve as R
@@ -182,3 +183,45 @@ def page_list(spark, d):
     p = table(spark, d, "source_files").select(page_path(F.col("path")).alias("page")).distinct().withColumn("repo", F.split("page", "/")[0])
     return W.top_per_group(p, ["repo"], [F.col("page")], 1 << 62).select("page", F.col("rank").alias("position"))
 
+
+@query(f"WITH {_MOD}, {_FN} SELECT path, owner, name, 'long function' AS smell, CAST(length AS BIGINT) AS measure FROM fn WHERE length > 50 UNION ALL SELECT path, owner, name, 'many parameters', CAST(len(args) AS BIGINT) FROM fn WHERE len(args) > 5")
+def smell_details(spark, d):
+    return M.smell_details(M.functions_of(_m(spark, d)))
+
+
+@query(
+    f"""WITH {CALLS}, {_MOD}, {_FN}, {_CALLABLE}, o AS (SELECT k.id, count(c.dst) AS n FROM k LEFT JOIN calls c ON c.src = k.id GROUP BY k.id)
+    SELECT round(avg(n), 4) AS average, max(n) AS most, count(*) FILTER (n = 0 AND id NOT IN (SELECT dst FROM calls)) AS isolated, count(*) AS callables FROM o"""
+)
+def callable_coupling(spark, d):
+    """Calls that leave each callable, and callables that nothing connects."""
+    return G.coupling(R.callables(_m(spark, d)).select(F.col("id").alias("node")), calls_of(spark, d))
+
+
+@query(
+    f"""WITH RECURSIVE {CALLS}, {_MOD}, {_FN}, {_CALLABLE}, {_CUR}, x AS (SELECT c.path FROM cur c LEFT JOIN sto s ON c.path = s.path WHERE c.hash IS NOT NULL AND (s.path IS NULL OR c.hash IS DISTINCT FROM s.hash)), seed AS (SELECT id AS node FROM k WHERE module IN (SELECT path FROM x)),
+    r AS (SELECT node, CAST(0 AS BIGINT) AS depth FROM seed UNION SELECT c.src, r.depth + 1 FROM r JOIN calls c ON c.dst = r.node WHERE r.depth < 5) SELECT node AS id, min(depth) AS distance FROM r GROUP BY node HAVING min(depth) > 0"""
+)
+def impact_callables(spark, d):
+    """Callers of changed callables, up to five calls away, with their distance; the changed ones are not among them."""
+    changed = R.delta(*_delta(spark, d)).where("change IN ('added', 'changed')").select(F.col("path").alias("module"))
+    seeds = R.callables(_m(spark, d)).join(changed, "module", "left_semi").select(F.col("id").alias("node"))
+    return G.reach(cut(calls_of(spark, d)), seeds, 5, reverse=True).where("depth > 0").select(F.col("node").alias("id"), F.col("depth").alias("distance"))
+
+
+@query(
+    f"""WITH {_MOD}, {_E}, t AS (SELECT path AS other, min(coalesce(nullif(docstring, ''), ({_SIZE.format('classes')} + {_SIZE.format('functions')} + {_SIZE.format('interfaces')}) || ' entities, ' || coalesce(total_lines, 0) || ' lines')) AS summary FROM m GROUP BY path),
+    b AS (SELECT src AS path, 'depends on' AS direction, dst AS other FROM g UNION SELECT dst, 'used by', src FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY path, direction ORDER BY other) AS position FROM b) SELECT path, direction, position, other, summary FROM r JOIN t USING (other) WHERE position <= 8"""
+)
+def dependency_context(spark, d):
+    return K.dependency_context(_m(spark, d), G.edges(table(spark, d, "dep_edges")))
+
+
+@query("SELECT count(*) AS pages, count(*) FILTER (regexp_matches(text, '\\S')) AS succeeded, count(*) - count(*) FILTER (regexp_matches(text, '\\S')) AS failed, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '\\[@src:'))) AS BIGINT) AS anchors, CAST(sum(length(coalesce(text, '')) // 4) AS BIGINT) AS tokens FROM documents")
+def run_totals(spark, d):
+    """Pages, how many came out, their source markers and an estimate of their tokens."""
+    text = F.coalesce("text", F.lit(""))
+    good = F.count_if(text.rlike(r"\S"))
+    return table(spark, d, "documents").agg(
+        F.count("*").alias("pages"), good.alias("succeeded"), (F.count("*") - good).alias("failed"), F.sum(F.regexp_count(text, F.lit(r"\[@src:"))).cast("bigint").alias("anchors"), F.sum(F.floor(F.length(text) / 4)).cast("bigint").alias("tokens")
+    )
