@@ -115,7 +115,7 @@ def flow_complexity(spark, d):
     """Decision points plus one are edges minus blocks plus two of the graph."""
     f = _file(spark, "a.py", _FLOW)
     n = P.extract(f, "flow_blocks").agg(F.count("*").alias("blocks")).crossJoin(P.extract(f, "flow_edges").agg(F.count("*").alias("edges")))
-    return P.extract(f, "control_flow").crossJoin(n.withColumnsRenamed({"blocks": "b", "edges": "e"})).select("complexity", (F.col("e") - F.col("b") + 2).alias("from_graph"), "dead_blocks", "nesting")
+    return P.extract(f, "control_flow").crossJoin(n.withColumnsRenamed({"blocks": "b", "edges": "e"})).select("complexity", (F.col("e") - F.col("b") + 2).cast("int").alias("from_graph"), "dead_blocks", "nesting")
 
 
 @query(_values("line, block, reachable", (1, 0, True), (1, 1, True), (1, 2, True), (1, 3, False)))
@@ -334,14 +334,14 @@ def module_records(spark, d):
 def rate_limit(spark, d):
     rows = [(1, 0.0), (2, 0.0), (3, 0.0), (4, 1.5)]
     e = spark.createDataFrame(rows, "id long, t double").withColumns({"k": F.lit("calls"), "ts": F.timestamp_micros((F.col("t") * 1_000_000).cast("bigint"))})
-    return W.token_bucket(e, "k", "ts", "id", 1.0, 2).select("id", "sent")
+    return W.token_bucket(e, "k", "ts", "id", 1.0, 2).select(F.col("id").cast("int").alias("id"), "sent")
 
 
 @query(_values("id, step", (1, 1), (3, 2), (2, 3)))
 def mmr_order(spark, d):
     """The second choice differs from the first, though another is nearer to the query."""
     rows = [(1, [1.0, 0.0], 0.9), (2, [1.0, 0.05], 0.89), (3, [0.0, 1.0], 0.7)]
-    return T.mmr(spark.createDataFrame(rows, "id long, v array<double>, rel double"), "id", "v", "rel")
+    return T.mmr(spark.createDataFrame(rows, "id long, v array<double>, rel double"), "id", "v", "rel").select(F.col("id").cast("int").alias("id"), F.col("step").cast("int").alias("step"))
 
 
 @query(_values("id, first, failed", (1, 2.0, False), (2, 0.0, True), (3, 0.0, True), (4, 0.0, False)))
@@ -354,7 +354,7 @@ def embedding_batches(spark, d):
         return [[float(len(t)), 1.0] for t in texts]
 
     rows = spark.createDataFrame([(2, "bad"), (3, "xyz"), (1, "ab"), (4, None)], "id long, t string").coalesce(1)
-    return T.embed(rows, "id", "t", embedder, 2, batch=2).select("id", F.col("embedding")[0].cast("double").alias("first"), "failed")
+    return T.embed(rows, "id", "t", embedder, 2, batch=2).select(F.col("id").cast("int").alias("id"), F.col("embedding")[0].cast("double").alias("first"), "failed")
 
 
 @query(_values("path, change", ("docs/a/a.md", "changed"), ("docs/b.md", "added"), ("gone.md", "deleted")))
@@ -370,4 +370,4 @@ def stored_state(spark, d):
     """A run's totals, written as JSON and read again; what is not there is none."""
     at = f"{checkpoint_dir(spark)}/state-{uuid.uuid4().hex}"
     S.save_state(spark.createDataFrame([(2, 1)], "modules long, edges long"), at)
-    return S.load_or_none(spark, at).withColumn("missing", F.lit(S.load_or_none(spark, at + "-no") is None))
+    return S.load_or_none(spark, at).select(F.col("modules").cast("int").alias("modules"), F.col("edges").cast("int").alias("edges")).withColumn("missing", F.lit(S.load_or_none(spark, at + "-no") is None))
