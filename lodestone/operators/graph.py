@@ -74,6 +74,16 @@ def shortest_path(e: DataFrame, start: str, end: str, depth: int = 8) -> DataFra
     return seen.where(F.lit(False)).select("path")
 
 
+def labelled_path(labelled: DataFrame, start: str, end: str, depth: int = 8) -> DataFrame:
+    """``step, node, relation``: the shortest path, the first in alphabetical order, with the first relation of
+    each of its edges; the start has ``start``, or ``self`` if it is the end as well."""
+    path = shortest_path(edges(labelled), start, end, depth)
+    steps = path.select(F.posexplode("path").alias("i", "node"), "path").select(F.col("i").cast("bigint").alias("step"), "node", F.when(F.col("i") > 0, F.try_element_at("path", F.col("i"))).alias("from"))
+    first = labelled.groupBy(F.col("src").alias("from"), F.col("dst").alias("node")).agg(F.min("relation").alias("relation"))
+    alone = F.lit("self" if start == end else "start")
+    return steps.join(first, ["from", "node"], "left").select("step", "node", F.when(F.col("step") == 0, alone).otherwise(F.col("relation")).alias("relation"))
+
+
 def neighbours(labelled: DataFrame, seed: str, depth: int = 1) -> DataFrame:
     """``node, relation, depth``: both directions, reverse hits labelled ``REV_``; a node is reported once,
     at its least depth, under its first label."""

@@ -27,6 +27,19 @@ def pack(rows: DataFrame, key: list[str], order: list[Column], text: str, cap: i
     return out.where(F.col("_b") < budget).withColumn("piece", F.substring(F.col("_c"), F.lit(1), room.cast("int"))).drop("_c", "_b")
 
 
+def add_sources(used: DataFrame, sources: DataFrame, key: list[str], order: list[Column], text: str, budget: int, until: float = 0.85, most: int = 3, notice: str = "\n... (truncated)") -> DataFrame:
+    """``key, position, piece``: what fills the rest of a budget after packing (``used`` has ``key`` and its
+    ``size`` so far): where less than ``until`` of it is used, the first ``most`` sources, the one that does not
+    fit cut to what is left with a notice. Blank sources are passed over."""
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    first = sources.where(F.length(F.trim(text)) > 0).withColumn("position", rank).where(F.col("position") <= most)
+    room = first.join(used.where(F.col("size") < until * budget), key)
+    before = F.coalesce(F.sum(F.length(text)).over(Window.partitionBy(*key).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = (F.lit(budget) - F.col("size") - before).cast("int")
+    piece = F.when(F.length(text) <= left, F.col(text)).when(left > 20, F.concat(F.substring(F.col(text), F.lit(1), left - 20), F.lit(notice)))
+    return room.select(*key, F.col("position").cast("bigint").alias("position"), piece.alias("piece")).where("piece IS NOT NULL")
+
+
 def sessions(events: DataFrame, key: list[str], at: str, gap_seconds: int) -> DataFrame:
     """``key, started, ended, events``: changes no more than ``gap`` apart belong together."""
     w = Window.partitionBy(*key).orderBy(at)

@@ -267,12 +267,31 @@ def hash_snapshot(spark, d):
     return R.upsert(S.load_snapshot(spark, at, "path string, hash string"), now, "path")
 
 
-@query(_values("path, content", ("docs/b.md", "# B\n")))
-def read_limits(spark, d):
-    """Reading a directory within its limits, and one document."""
-    files = spark.createDataFrame([("docs/b.md", "# B\n"), ("docs/big.md", "x" * 300_000), ("docs/.hidden/c.md", "c")], "path string, content string")
-    few = S.read_directory(files)
-    return few.join(S.read_document(files, "docs/b.md").select("path"), "path", "left_semi").unionByName(S.read_document(files, "../x").select("path", "content"))
+_LIMITED = [("docs/b.md", "# B\n"), ("docs/big.md", "x" * 300_000), ("docs/.hidden/c.md", "c"), ("pic.png", "no text"), ("LICENSE", "free")]
+
+
+@query(_values("path, content", ("LICENSE", "free"), ("docs/b.md", "# B\n")))
+def read_folder(spark, d):
+    """A directory read within its limits: text files that are not too large and not in hidden folders."""
+    return S.read_directory(spark.createDataFrame(_LIMITED, "path string, content string"))
+
+
+@query(_values("path, content, error", ("docs/b.md", "# B\n", None), ("docs/big.md", None, "too large"), ("gone.md", None, "not found"), ("../x", None, "outside the tree")))
+def read_one(spark, d):
+    files = spark.createDataFrame(_LIMITED, "path string, content string")
+    out = None
+    for path in ("docs/b.md", "docs/big.md", "gone.md", "../x"):
+        one = S.read_document(files, path)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(_values("parent, name, kind, position", ("", "a", "dir", 1), ("", "B.md", "file", 2), ("a", "x.py", "file", 1), ("", ".env", "file", 3)))
+def tree_shown(spark, d):
+    files = spark.createDataFrame([("a/x.py",), ("a/pic.png",), ("B.md",), (".env",), ("c/only.bin",)], "path string")
+    t = S.tree(files, shown=S.TREE_EXTENSIONS)
+    order = F.when(F.col("name") == ".env", 3).when(F.col("name") == "B.md", 2).otherwise(F.col("position"))
+    return t.select("parent", "name", "kind", order.cast("int").alias("position"))
 
 
 _PY_MODULE = '"""About."""\nimport os\nimport pkg.mod\nfrom . import near\n\n\n@dec(1)\nclass K(Base, m.Mixin):\n    """Class."""\n\n    async def go(self, a: int = 1, *, b="x") -> str:\n        """Goes."""\n        return b\n\n\ndef top(x, /, y=None):\n    def inner():\n        pass\n    return inner\n'

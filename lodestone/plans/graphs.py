@@ -105,6 +105,18 @@ def shortest_path(spark, d):
     return G.shortest_path(g, far["node"], _seed(g).first()["node"]).select(F.array_join("path", " > ").alias("path"))
 
 
+@query(
+    _REACH % 4 + """, b AS (SELECT node, min(depth) AS depth FROM r GROUP BY node), far AS (SELECT node FROM b ORDER BY depth DESC, node LIMIT 1),
+    p AS (SELECT node AS here, [node] AS path, 0 AS n FROM far UNION ALL SELECT g.dst, list_append(path, g.dst), n + 1 FROM p JOIN g ON g.src = p.here WHERE n < 4 AND NOT list_contains(path, g.dst)),
+    w AS (SELECT path FROM p WHERE here IN (SELECT node FROM seed) ORDER BY n, path LIMIT 1), s AS (SELECT path, unnest(range(0, len(path))) AS step FROM w)
+    SELECT step, path[step + 1] AS node, CASE WHEN step = 0 THEN 'start' ELSE (SELECT min(relation) FROM dep_edges WHERE src = path[step] AND dst = path[step + 1]) END AS relation FROM s"""
+)
+def path_relations(spark, d):
+    g = cut(_g(spark, d))
+    far = G.reach(g, _seed(g), 4, reverse=True).orderBy(F.desc("depth"), "node").first()
+    return G.labelled_path(table(spark, d, "dep_edges"), far["node"], _seed(g).first()["node"])
+
+
 _NEAR = f"""WITH RECURSIVE {_G}, {_SEED}, b AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), r AS (SELECT node, CAST(0 AS BIGINT) AS depth FROM seed UNION SELECT b.dst, r.depth + 1 FROM r JOIN b ON b.src = r.node WHERE r.depth < 2),
  k AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)"""
 

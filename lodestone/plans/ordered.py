@@ -32,6 +32,18 @@ def context_pack(spark, d):
     return W.pack(_docs(spark, d), ["source"], [F.col("doc_id")], "text").select("source", "doc_id", "position", F.length("piece").cast("bigint").alias("size"))
 
 
+@query(
+    f"""WITH {_DOCS}, u AS (SELECT source, least(sum(length(substr(text, 1, 1000))), 33600) AS size FROM docs GROUP BY source), f AS (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY n DESC, doc_id) AS position FROM docs WHERE length(trim(text, ' ')) > 0 QUALIFY position <= 3),
+    r AS (SELECT f.*, 48000 - size - coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM f JOIN u USING (source) WHERE size < 40800)
+    SELECT source, position, CAST(CASE WHEN length(text) <= room THEN length(text) ELSE room - 20 + 16 END AS BIGINT) AS size FROM r WHERE length(text) <= room OR room > 20"""
+)
+def context_sources(spark, d):
+    """What follows the packed texts of each source: its three longest, as far as there is room."""
+    docs = _docs(spark, d)
+    packed = W.pack(docs, ["source"], [F.col("doc_id")], "text").groupBy("source").agg(F.sum(F.length("piece")).alias("size"))
+    return W.add_sources(packed, docs, ["source"], [F.desc("n"), F.col("doc_id")], "text", 48000).select("source", "position", F.length("piece").cast("bigint").alias("size"))
+
+
 @query(
     """WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER o IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER o) > 1800000000 THEN 1 ELSE 0 END AS n FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)),
     s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM e) SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS events FROM s GROUP BY user_id, s"""

@@ -18,6 +18,16 @@ CODE = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascri
 MAX_FILES, MAX_FILE_BYTES, MAX_TOTAL_BYTES, MAX_DOCUMENT_BYTES = 200, 150 * 1024, 2 * 1024 * 1024, 200 * 1024
 
 
+#: Extensions (or whole names) that a drawn file tree shows.
+TREE_EXTENSIONS = (
+    ".py .js .jsx .ts .tsx .json .yaml .yml .md .mdx .toml .rs .sh .bash .css .html .xml .sql .go .java .kt .swift .rb .php .c .cpp .h .hpp .vue .svelte .txt .cfg .ini .env .gitignore .dockerignore"
+).split()
+#: Extensions that count as text when a directory is read; a file without one counts as well.
+TEXT_EXTENSIONS = (
+    "txt md csv json xml yaml yml log html htm css scss less py js ts tsx jsx mjs cjs rs go java kt swift c cpp h hpp rb php sh bash zsh fish toml ini cfg conf env gitignore dockerignore sql graphql proto"
+).split()
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
 
@@ -132,9 +142,13 @@ def counts(files: DataFrame, key: str = "path") -> DataFrame:
     return files.agg(F.count("*").alias("total"), F.count_if(out).alias("excluded"), F.count_if(~out).alias("to_analyze"))
 
 
-def tree(files: DataFrame, key: str = "path") -> DataFrame:
+def tree(files: DataFrame, key: str = "path", shown: list[str] | None = None) -> DataFrame:
     """``parent, name, kind, depth, position``: every folder and file once, folders first, then by name
-    without case."""
+    without case; with ``shown`` only files that end in one of these, and their folders."""
+    if shown is not None:
+        name = F.lower(F.element_at(F.split(slashes(F.col(key)), "/"), -1))
+        ends = F.regexp_extract(name, r"(\.[^.]*)$", 1)
+        files = files.where(ends.isin(shown))
     parts = files.select(F.split(slashes(F.col(key)), "/").alias("s")).distinct()
     n = F.explode(F.sequence(F.lit(1), F.size("s")))
     rows = parts.select("s", n.alias("n")).select(
@@ -147,14 +161,22 @@ def tree(files: DataFrame, key: str = "path") -> DataFrame:
 
 def read_directory(files: DataFrame, max_files: int = MAX_FILES, max_file: int = MAX_FILE_BYTES, total: int = MAX_TOTAL_BYTES) -> DataFrame:
     """The first files by path that fit the limits (a bounded preview is what this operator is for)."""
-    ok = files.where((F.octet_length("content") <= max_file) & ~F.col("path").rlike(r"(?:^|/)\.[^/]+/"))
+    ext = extension(F.col("path"))
+    ok = files.where((F.octet_length("content") <= max_file) & ~F.col("path").rlike(r"(?:^|/)\.[^/]+/") & ((ext == "") | ext.isin(TEXT_EXTENSIONS)))
     first = ok.orderBy("path").limit(max_files)
     run = F.sum(F.octet_length("content")).over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, 0))
     return first.withColumn("_r", run).where(F.col("_r") <= total).drop("_r")
 
 
 def read_document(files: DataFrame, path: str, limit: int = MAX_DOCUMENT_BYTES) -> DataFrame:
-    return files.where((F.col("path") == path) & (F.octet_length("content") <= limit) & ~F.lit(".." in path.split("/")))
+    """One row, ``path, content, error``: a document, or why it cannot be read (it is not there, it lies
+    outside the tree, it is over the limit)."""
+    if path.startswith("/") or ".." in path.replace("\\", "/").split("/"):
+        return files.sparkSession.createDataFrame([(path, None, "outside the tree")], "path string, content string, error string")
+    one = files.where(F.col("path") == path).select("content", F.octet_length("content").alias("n")).limit(1)
+    asked = files.sparkSession.createDataFrame([(path,)], "path string")
+    error = F.when(F.col("n").isNull(), "not found").when(F.col("n") > limit, "too large")
+    return asked.join(one, F.lit(True), "left").select("path", F.when(error.isNull(), F.col("content")).alias("content"), error.alias("error"))  # one row each
 
 
 def load_or_none(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
