@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -19,6 +20,7 @@ def session(name: str = "lodestone", cores: str | int = "*", **conf) -> SparkSes
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -50,6 +52,10 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+#: Applications whose folder is ours and goes when this process ends.
+_OWN: set[str] = set()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names. One of our own is made only in local mode, as in tests;
     on a cluster a missing name is an error, as no folder of one machine would do."""
@@ -58,6 +64,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), f"lodestone-{spark.sparkContext.applicationId}")
+        if spark.sparkContext.applicationId not in _OWN:
+            _OWN.add(spark.sparkContext.applicationId)
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(named)
     return named
