@@ -28,6 +28,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from ..session import cut, spread
 
@@ -381,6 +383,7 @@ def leaks(
 
 def _search(documents, held, key, text, key_kind, item_kind, min_words, min_chars, rank, window, cosine, probes, share) -> DataFrame:
     spark = documents.sparkSession
+    kind_of = {k: to_arrow_type(_parse_datatype_string(k)) for k in (key_kind, item_kind)}
     cells = list(passages(held, window))  # bounded by the block, as is all below
     vocab = np.unique(np.concatenate([f for _, f, _ in cells]))
     at = [np.searchsorted(vocab, f) for _, f, _ in cells]
@@ -417,7 +420,6 @@ def _search(documents, held, key, text, key_kind, item_kind, min_words, min_char
             [pa.nulls(m, kind_of[key_kind]), pa.nulls(m, pa.string()), pa.nulls(m, pa.binary()), pa.array([-1, *hit.tolist()], pa.int64()), pa.array([docs, *seen[hit].tolist()], pa.int64())], names
         )
 
-    kind_of = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16(), "tinyint": pa.int8()}
     once = cut(data.mapInArrow(read, f"key {key_kind}, chars string, starts binary, feature bigint, n bigint"))
     df, total = np.zeros(len(vocab)), 0
     for r in once.where("feature IS NOT NULL").groupBy("feature").agg(F.sum("n").alias("n")).collect():  # at most the items' shingles

@@ -154,6 +154,12 @@ def test_leaks(spark):
     assert {(r["doc_id"], r["item_id"]) for r in leakage.leaks(d, e, block=500).collect()} == got  # one item a block
 
 
+def test_leaks_by_any_kind_of_key(spark):
+    d = spark.createDataFrame([("2024-01-01", ITEM), (None, ITEM)], "doc_id string, text string").selectExpr("CAST(doc_id AS DATE) AS doc_id", "text")
+    e = spark.createDataFrame([("a", None, ITEM), ("a", None, ITEM), (None, "en", ITEM)], "item_id string, lang string, text string")
+    assert [(str(r["doc_id"]), r["item_id"]) for r in leakage.leaks(d, e).collect()] == [("2024-01-01", "a")]
+
+
 def test_leaks_in_other_words(spark):
     words = ITEM.split()
     changed = " ".join(w for i, w in enumerate(words) if i % 9 != 5)  # no twelve words in a row are left
