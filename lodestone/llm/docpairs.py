@@ -111,10 +111,13 @@ def clean_comment(doc: str) -> str:
     return "\n".join(re.sub(r"^[ \t]*\*?[ \t]?", "", x) for x in doc[3:-2].split("\n")).strip()
 
 
+_LITERAL = regex.compile(r"[A-Za-z]{0,2}+(?:(\"\"\"|''')([\s\S]*?)(?<!\\)(?:\\\\)*\1|(['\"])((?:[^\\\n]|\\[\s\S])*?)\3)")
+
+
 def clean_docstring(literal: str) -> str:
     """The value of the string literals of a docstring, dedented; escapes are left as written."""
     out = []
-    for m in regex.finditer(r"[A-Za-z]{0,2}+(?:(\"\"\"|''')([\s\S]*?)(?<!\\)(?:\\\\)*\1|(['\"])((?:[^\\\n]|\\[\s\S])*?)\3)", literal):
+    for m in _LITERAL.finditer(literal):
         out.append(m[2] if m[1] else m[4])
     return "\n".join(x.strip() for x in "".join(out).split("\n")).strip()
 

@@ -69,7 +69,8 @@ def documented_functions(files: DataFrame, path: str = "path", content: str = "c
     """Code-description pairs: ``path``, ``name``, ``line``, ``args``, ``description``, ``docstring``,
     ``code``, one row for each documented function of each file that parses.
 
-    Repeated rows give one row; null or empty contents give none; ``min_words`` and ``min_han`` say how
+    Repeated rows give one row, as do versions of a path that document a function on one line (the least in
+    the order of the columns); null or empty contents give none; ``min_words`` and ``min_han`` say how
     much a description must say beyond the function's own name."""
     data = files.select(F.col(path).alias("path"), F.col(content).alias("content"))
 
@@ -81,4 +82,5 @@ def documented_functions(files: DataFrame, path: str = "path", content: str = "c
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["path", "name", "line", "args", "description", "docstring", "code"])
 
     found = spread(data).mapInArrow(run, "path string, name string, line bigint, args string, description string, docstring string, code string")
-    return found.dropDuplicates(["path", "name", "line"])
+    one = F.min(F.struct("args", "description", "docstring", "code")).alias("x")
+    return found.groupBy("path", "name", "line").agg(one).select("path", "name", "line", "x.*")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import ast
 import re
+import symtable
 import warnings
 from functools import cache, reduce
 from operator import getitem
@@ -306,8 +307,10 @@ _JS_SKIP = re.compile(r"(?:\s|//[^\n]*|/\*[\s\S]*?\*/)*")
 _JS_TOKEN = re.compile(rf"(?:{_STR}|{_WORD}|{_NUM}|{_PUNCT}|[\s\S])")
 _JS_REGEX = re.compile(_REGEX)
 _TPL_TEXT = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)")
-_JSX_TEXT, _JSX_ID, _JSX_STR = re.compile(r"[^{}<>]+"), re.compile(r"[A-Za-z_$][\w$-]*"), re.compile(r"'[^']*'|\"[^\"]*\"")
-_JSX_TAG = re.compile(r"\s*(/?)\s*([A-Za-z_$][\w$.:-]*)?")
+_JSX_TEXT, _JSX_ID, _JSX_STR = re.compile(r"[^{}<>]+"), re.compile(r"(?:[^\W\d]|\$)[\w$-]*"), re.compile(r"'[^']*'|\"[^\"]*\"")
+_JSX_TAG = re.compile(r"\s*(/?)\s*((?:[^\W\d]|\$)[\w$.:-]*)?")
+_SELF_CLOSE = re.compile(r"/\s*>")
+_GENERIC = re.compile(r"<\s*(?:const\s+)?\w+\s*(?:,|extends\b)")
 _JS_OP = {x: "OP" for x in "** % << <= == != === !== ^ && || ??".split()}
 _JS_OP |= {x: "ASSIGN" for x in "+= -= *= /= %= **= <<= &= |= ^= &&= ||= ??=".split()} | {"++": "INC", "--": "INC"}
 _JS_OP |= {x: x for x in "... => >= ?. + - * / & | ~ ! ? : ; , . < > = ( ) { } [ ] @".split()}
@@ -434,7 +437,7 @@ def _walk(g: Grammar, jsx: bool, text: str):
         elif jsx and ch in "'\"" and can("JSX_STR"):
             m = _JSX_STR.match(text, pos)
             c, stop = ("JSX_STR", m.end()) if m else ("ERROR", pos + 1)
-        elif jsx and ch == "<" and can("JSX_OPEN") and not (can("<") and re.match(r"<\s*(?:const\s+)?\w+\s*(?:,|extends\b)", text[pos : pos + 80])):
+        elif jsx and ch == "<" and can("JSX_OPEN") and not (can("<") and _GENERIC.match(text, pos)):
             m = _JSX_TAG.match(text, pos + 1)
             c = "JSX_OPEN"
             if not m[1]:
@@ -467,7 +470,7 @@ def _walk(g: Grammar, jsx: bool, text: str):
                 braces.append("{")
             elif c == "}" and braces:
                 braces.pop()
-        if jsx and c == "/" and re.match(r"/\s*>", text[pos : pos + 40]) and can("/"):
+        if jsx and c == "/" and _SELF_CLOSE.match(text, pos) and can("/"):
             if closing:
                 closing = False
             elif tags:
@@ -519,6 +522,11 @@ def verdict(path: str | None, content: str | None):
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
+            try:  # the symbol table is made without a tree of objects; it refuses more than the parser does
+                symtable.symtable(content.removeprefix("\ufeff"), "<file>", "exec")
+                return None
+            except (SyntaxError, ValueError):
+                pass
             compile(content.removeprefix("\ufeff"), "<file>", "exec", ast.PyCF_ONLY_AST, True)
     except SyntaxError as e:
         return bad or ("rejected", e.lineno or 1, (e.text or "").strip()[:40])

@@ -123,3 +123,19 @@ def test_fields_of_python_strings():
     for text in ('x = "\\x4"\n', "x = b'é'\n", "x = '\\N{no such sign}'\n", "f() = 1\n"):
         assert syntax.verdict("a.py", text)[:2] == ("rejected", 1), text
     assert syntax.verdict("a.py", '\ufeffx = f"{d["k"]}"\n') is None
+
+
+def test_names_and_gaps_in_markup():
+    for text in ("<À", "const a = <Àb />;", f"const a = <b{' ' * 500}/>;", f"const f = <{' ' * 500}T,>(x) => x;"):
+        syntax.check("a.tsx", text)
+    assert syntax.check("a.tsx", f"const a = <b{' ' * 500}/{' ' * 100}>;\n") is None
+    assert syntax.check("a.tsx", f"const f = <{' ' * 500}T,>(x: T) => x;\n") is None
+    assert syntax.check("a.jsx", "const a = <àb ô='1'>x</àb>;\n") is None
+
+
+def test_the_symbol_table_changes_no_verdict():
+    """What only it refuses (repeated parameters, names declared too late) is left to the parser."""
+    for text in ("def f(a, a): pass\n", "def f():\n    x = 1\n    global x\n", "nonlocal x\n", "x = 1\n"):
+        assert syntax.verdict("a.py", text) is None, text
+    for text in ("f() = 1\n", "x = (\n", "x = '\\x4'\n"):
+        assert syntax.verdict("a.py", text) is not None, text
