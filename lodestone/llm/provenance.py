@@ -2,8 +2,9 @@
 
 Every file becomes a stream of tokens in which identifiers are masked, with keywords kept. It is read at
 two levels: ``body`` keeps the literals, ``shape`` masks them by their kind as well. At each level the
-distinct five-token shingles get a MinHash signature; files that share a band of it meet a leader, and
-their shingle sets are compared exactly with the leader's. What the verified clusters are follows from them:
+distinct five-token shingles get a MinHash signature; any two files that share a band of it are candidates,
+and unless they are linked already their shingle sets are compared exactly. Clusters are what verified links
+connect. What they are follows from them:
 
 * a cluster of bodies over several repositories is third-party code (``vendored``);
 * a cluster of shapes that repeat few statements again and again is what a generator gives out, in one
@@ -29,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ..session import cut, spread
 
 _TOKEN = re.compile(
@@ -44,10 +46,14 @@ KEYWORDS = frozenset(keyword.kwlist) | frozenset(
     "if implements import in instanceof interface let namespace new null of private protected public readonly return set static super switch this throw true try "
     "type typeof undefined var void while with yield".split()
 )
-BANDS, ROWS, SHINGLE = 24, 8, 5
+#: Values of a signature; those of a band of candidates (38 bands: of pairs at a similarity of 0.8, 3 in ten
+#: million share none) and of a band of leaders (24 bands).
+HASHES, ROWS, LEAD_ROWS, SHINGLE = 192, 5, 8, 5
+#: Words of 64 bits of the parities that go with every band.
+WORDS = 8
 _RNG = np.random.default_rng(20240607)
-_MUL = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_MUL = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
+_ADD = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _POW = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(SHINGLE)], dtype=np.uint64)
 COMMENT, WORD, NUMBER, TEXT, MARK = range(5)
 #: Shapes of the shape level: what is left of a literal.
@@ -107,22 +113,37 @@ def shingles(ids: np.ndarray) -> np.ndarray:
 
 def signature(hashes: np.ndarray) -> np.ndarray:
     """MinHash values of a set of shingles."""
-    out = np.empty(BANDS * ROWS, np.uint64)
-    for i in range(0, BANDS * ROWS, 32):
+    out = np.empty(HASHES, np.uint64)
+    for i in range(0, HASHES, 32):
         out[i : i + 32] = (hashes[None, :] * _MUL[i : i + 32, None] + _ADD[i : i + 32, None]).min(axis=1)
     return out ^ (out >> np.uint64(23))
 
 
-def bands(sig: np.ndarray) -> np.ndarray:
-    """One number per band of a signature."""
-    rows = sig.reshape(BANDS, ROWS)
-    h = np.zeros(BANDS, np.uint64)
-    for i in range(ROWS):
+def bands(sig: np.ndarray, size: int) -> np.ndarray:
+    """One number per band of ``size`` values of a signature."""
+    n = len(sig) // size
+    rows = sig[: n * size].reshape(n, size)
+    h = np.zeros(n, np.uint64)
+    for i in range(size):
         h = (h ^ rows[:, i]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
     return (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """For each of 512 or more classes of shingles (three for four shingles), whether their number is odd.
+    Two sets differ in at least as many shingles as their parities in places."""
+    m = 64 * WORDS
+    while 4 * m < 3 * len(hashes):
+        m *= 2
+    return np.packbits((np.bincount((hashes & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(bits: bytes, size: int) -> np.ndarray:
+    """Parities of fewer classes, as 64-bit words."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size), axis=0)
+
+
 def head(text: str) -> str:
     """The comments before the first code, whatever their length."""
     return _LEADING.match(text)[0]
@@ -163,8 +184,9 @@ def _column(batch: pa.RecordBatch, name: str) -> list:
 
 
 _PRINT = {
-    "path": "string", "repo": "string", "version": "bigint", "kind": "string", "shape_set": "binary", "shape": "binary",
-    "bodies": "bigint", "body_set": "bigint", "body": "binary", "sig": "binary", "features": "array<bigint>",
+    "path": "string", "repo": "string", "version": "bigint", "kind": "string",
+    "shape_set": "binary", "shape_digest": "bigint", "shapes": "bigint", "shape": "binary", "shape_lead": "binary", "shape_bits": "binary",
+    "bodies": "bigint", "body_digest": "bigint", "body": "binary", "body_lead": "binary", "body_bits": "binary", "features": "array<bigint>",
 }
 _ARROW = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
 
@@ -181,9 +203,9 @@ def fingerprints(
     files: DataFrame, path: str = "path", repo: str = "repo", content: str = "content", evidence: int = 150, few: int = 100, repeats: int = 8, wide: int = 50, bulk: int = 2500
 ) -> DataFrame:
     """One row per path and version of its content, in one read. ``kind`` is what a cluster of such shapes
-    would be (null: nothing); files that have one get the set of their shapes and its bands. ``bodies`` is
-    the number of distinct body shingles; files of ``evidence`` or more get a digest of their set, its bands
-    and eight bits of each value of its signature. ``features`` are hashed."""
+    would be (null: nothing); files that have one get the set of their shapes. ``bodies`` is the number of
+    distinct body shingles. The sets of shapes and those of ``evidence`` bodies or more get a digest, two
+    rows of bands and their parities. ``features`` are hashed."""
     data = files.where(F.col(content).isNotNull() & F.col(path).isNotNull()).select(F.col(path).alias("path"), F.col(repo).alias("repo"), F.col(content).alias("content"))
 
     def one(p, r, c):
@@ -199,13 +221,14 @@ def fingerprints(
             kind = "generated"
         else:
             kind = None
-        shaped = (shape.tobytes(), bands(signature(shape)).tobytes()) if kind else (None, None)
-        bodied = (None, None, None)
-        if len(body) >= evidence:
-            sig = signature(body)
-            bodied = _signed(body.tobytes()), bands(sig).tobytes(), (sig & np.uint64(255)).astype(np.uint8).tobytes()
+        shaped = (shape.tobytes(), _signed(shape.tobytes()), len(shape), *sketched(shape)) if kind else (None,) * 6
+        bodied = (_signed(body.tobytes()), *sketched(body)) if len(body) >= evidence else (None,) * 4
         return p, r if r is not None else p.split("/")[0], _digest(c), kind, *shaped, len(body), *bodied, [_digest(f) for f in features(p, c)]
 
+    def sketched(hashes):
+        sig = signature(hashes)
+        return bands(sig, ROWS).tobytes(), bands(sig, LEAD_ROWS).tobytes(), parities(hashes)
+
     def run(batches):
         for b in batches:
             rows = [one(*x) for x in zip(_column(b, "path"), _column(b, "repo"), _column(b, "content"))]
@@ -216,22 +239,60 @@ def fingerprints(
     return got.dropDuplicates(["path", "version"]).withColumn("id", F.monotonically_increasing_id())
 
 
-def candidates(prints: DataFrame, level: str) -> DataFrame:
-    """``leader, id``: the members of each bucket with its two leaders, its least and its greatest id. A
-    bucket is reduced to these before it is shuffled, so none is held in one task and none is capped."""
+def _numbered(column: list) -> np.ndarray:
+    """The bands of all rows, with their place in the upper half."""
+    keys = np.frombuffer(b"".join(column), np.uint32).astype(np.int64).reshape(len(column), -1)
+    return keys | (np.arange(keys.shape[1], dtype=np.int64) << 32)
+
+
+def leaders(known: DataFrame) -> DataFrame:
+    """``leader, id``: the members of each bucket of ``lead`` with its least and its greatest id. It only
+    saves work: what it links need not be compared by ``candidates``."""
 
     def run(batches):
         for b in batches:
-            ids = np.asarray(_column(b, "id"), np.int64)
-            keys = np.frombuffer(b"".join(_column(b, level)), np.uint32).astype(np.int64).reshape(-1, BANDS) | (np.arange(BANDS, dtype=np.int64) << 32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, BANDS)), pa.array(keys.ravel())], ["id", "band"])
+            if b.num_rows:
+                keys = _numbered(_column(b, "lead"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(_column(b, "id"), np.int64), keys.shape[1])), pa.array(keys.ravel())], ["id", "band"])
 
-    keyed = prints.where(F.col(level).isNotNull()).select("id", level).mapInArrow(run, "id bigint, band bigint")
+    keyed = known.select("id", "lead").mapInArrow(run, "id bigint, band bigint")
     ends = keyed.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     met = keyed.join(ends, "band").select("id", F.explode(F.array("first", "last")).alias("leader"))
     return met.where("leader <> id").select("leader", "id").distinct()
 
 
+def candidates(known: DataFrame, similarity: float) -> DataFrame:
+    """``leader, id``: all pairs of different ``label`` that share a band and that neither their sizes nor
+    their parities exclude (which no pair of the similarity does). The parities go with the bands, so that
+    only what is left of the pairs is shuffled."""
+    words = [f"w{i}" for i in range(WORDS)]
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                keys = _numbered(_column(b, "bands"))
+                bits = np.array([_folded(x, WORDS) for x in _column(b, "bits")]).view(np.int64)
+                cols = [keys.ravel(), *(np.repeat(x, keys.shape[1]) for x in (*(np.asarray(_column(b, c), np.int64) for c in ("id", "label", "n")), *bits.T))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["band", "id", "label", "n", *words])
+
+    keyed = known.select("id", "label", "n", "bands", "bits").mapInArrow(run, ", ".join(f"{c} bigint" for c in ("band", "id", "label", "n", *words)))
+    x, y = keyed.alias("x"), keyed.alias("y")
+    differ = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words[1:]), F.bit_count(F.col("x.w0").bitwiseXOR(F.col("y.w0"))))
+    apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
+    sized = _sized(F.col("x.n"), F.col("y.n"), similarity)
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & apart & sized & (differ <= _room(F.col("x.n") + F.col("y.n"), similarity)))
+    return met.select(F.col("x.id").alias("leader"), F.col("y.id").alias("id")).distinct()
+
+
+def _sized(x, y, similarity: float):
+    return F.least(x, y) >= F.greatest(x, y) * similarity - 1e-6
+
+
+def _room(size, similarity: float):
+    """How many shingles two sets of together ``size`` may differ in (with room for rounding)."""
+    return size * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
 def _sided(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs with the columns of both ends; those of the leader are named ``leader_...``."""
     lead = known.select(*[F.col(c).alias("leader" if c == "id" else f"leader_{c}") for c in known.columns])
@@ -243,7 +304,7 @@ def _where(pairs: DataFrame, test, *columns: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            keep = pa.array([bool(test(x, y)) for x, y in zip(*(_column(b, c) for c in columns))], pa.bool_())
+            keep = pa.array([bool(test(*x)) for x in zip(*(_column(b, c) for c in columns))], pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(_column(b, n), pa.int64()).filter(keep) for n in ("leader", "id")], ["leader", "id"])
 
     return pairs.mapInArrow(run, "leader bigint, id bigint")
@@ -277,29 +338,49 @@ def _body_sets(files: DataFrame, wanted: DataFrame, path: str, content: str, sma
     return data.mapInArrow(run, "id bigint, set binary").dropDuplicates(["id"])
 
 
-def _led(found: DataFrame) -> DataFrame:
-    return found.union(found.select("leader", F.col("leader").alias("id"))).distinct()
+def _clusters(known: DataFrame, similarity: float, verified) -> DataFrame:
+    """``leader, id``: the members of each cluster of two or more, with its least id. ``known`` has ``id,
+    digest, n, bands, lead, bits``; ``verified`` keeps the pairs whose sets are alike. Sets of equal digests are
+    equal; one of each takes part in the search. First all meet the leaders of their buckets; whatever shares a
+    leader is connected and takes its label. Then all pairs of different labels are compared."""
+    twins = cut(known.select("id", "digest").join(known.groupBy("digest").agg(F.min("id").alias("leader")), "digest").select("leader", "id"))
+    one = cut(known.join(twins.where("leader = id").select("id"), "id", "left_semi"))
+    ends = one.select("id", "n", "bits")
+
+    def alike(n, m, x, y):
+        size = min(len(x), len(y)) // 8
+        return int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum()) <= _room(n + m, similarity)
+
+    def kept(pairs):
+        return cut(verified(_where(_sided(pairs, ends).where(_sized(F.col("n"), F.col("leader_n"), similarity)), alike, "n", "leader_n", "bits", "leader_bits")))
+
+    first = kept(leaders(one))
+    label = one.join(first.groupBy("id").agg(F.min("leader").alias("label")), "id", "left").withColumn("label", F.least("id", "label"))
+    links = first.union(kept(candidates(label, similarity))).union(twins.where("leader <> id").select("leader", "id"))
+    return components(links.toDF("src", "dst")).select(F.col("component").alias("leader"), F.col("node").alias("id"))
+
+
+def _level(prints: DataFrame, level: str, n: str) -> DataFrame:
+    named = prints.where(F.col(level).isNotNull())
+    return named.select("id", F.col(f"{level}_digest").alias("digest"), F.col(n).alias("n"), F.col(level).alias("bands"), F.col(f"{level}_lead").alias("lead"), F.col(f"{level}_bits").alias("bits"))
 
 
 def shape_clusters(prints: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``leader, id``: the verified members of each leader's clusters of shapes, the leader included."""
-    pairs = _sided(candidates(prints, "shape"), prints.select("id", F.col("shape_set").alias("set")))
-    return _led(_where(pairs, _alike(similarity), "set", "leader_set"))
+    """``leader, id``: the members of each cluster of shapes, connected by pairs of ``similarity``."""
+    sets = prints.select("id", F.col("shape_set").alias("set"))
+    return _clusters(_level(prints, "shape", "shapes"), similarity, lambda pairs: _where(_sided(pairs, sets), _alike(similarity), "set", "leader_set"))
 
 
 def body_clusters(files: DataFrame, prints: DataFrame, similarity: float = 0.8, path: str = "path", content: str = "content", small: int = 100_000) -> DataFrame:
-    """``leader, id``: the verified members of each leader's clusters of bodies, the leader included. Equal
-    digests are equal sets; pairs whose signatures agree in less than ``similarity`` - 0.15 of their places
-    (five standard errors) are none; for all others the sets themselves are compared."""
-    known = prints.select("id", F.col("body_set").alias("digest"), "sig", F.col("bodies").alias("n"))
-    pairs = _sided(candidates(prints, "body"), known).where(F.least("n", "leader_n") >= similarity * F.greatest("n", "leader_n"))
-    same = F.col("digest") == F.col("leader_digest")
-    near = _where(pairs, lambda x, y: np.mean(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) >= similarity - 0.15, "sig", "leader_sig")
-    pairs = cut(_sided(near, known.select("id", "digest")).select("leader", "id", same.alias("same")))
-    open_ = pairs.where("NOT same").select("leader", "id")
-    sides = open_.select(F.col("leader").alias("id")).union(open_.select("id")).distinct().join(prints.select("id", "path", "version"), "id")
-    exact = _where(_sided(open_, _body_sets(files, sides, path, content, small)), _alike(similarity), "set", "leader_set")
-    return _led(pairs.where("same").select("leader", "id").union(exact))
+    """``leader, id``: the members of each cluster of bodies, connected by pairs of ``similarity``. The sets
+    of pairs that their parities do not exclude are made from the files again."""
+
+    def verified(pairs):
+        pairs = cut(pairs)
+        sides = pairs.select(F.col("leader").alias("id")).union(pairs.select("id")).distinct().join(prints.select("id", "path", "version"), "id")
+        return _where(_sided(pairs, _body_sets(files, sides, path, content, small)), _alike(similarity), "set", "leader_set")
+
+    return _clusters(_level(prints, "body", "bodies"), similarity, verified)
 
 
 def not_hand_written(

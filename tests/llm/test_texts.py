@@ -249,6 +249,41 @@ def test_clusters_find_what_brute_force_finds(spark, level):
     assert want and len(want & got) >= 0.98 * len(want) and got <= want
 
 
+def test_no_link_is_lost_to_the_leaders_of_a_bucket(spark):
+    """Pairs just above the similarity among files of other families that are half like them, chains and copies."""
+    random.seed(5)
+    line = lambda k: f"v = w({k}, {k * 7}) + {k * 13}"
+    number = iter(range(10**6, 10**7, 17))
+    rows = []
+    for i in range(150):
+        lines = [line(k) for k in range(60)] + [line(next(number)) for _ in range(40)]
+        for j in range(4 if i % 10 == 0 else 2):
+            rows.append((f"r{j}/{i}.py", f"r{j}", "\n".join(lines)))
+            for k in random.sample(range(0, 100, 2), random.choice((9, 10, 11))):
+                lines[k] = line(next(number))
+        rows += [(f"r9/{i}.py", "r9", rows[-1][2])] if i % 20 == 0 else []
+    f = spark.createDataFrame(rows, "path string, repo string, content string")
+    prints = provenance.cut(provenance.fingerprints(f))
+    of = {r["id"]: r["path"] for r in prints.select("id", "path").collect()}
+    got = {}
+    for r in provenance.body_clusters(f, prints).collect():
+        got.setdefault(r["leader"], set()).add(of[r["id"]])
+    sets = {p: set(provenance.shingles(provenance.masked(c)[0]).tolist()) for p, _, c in rows}
+    near = {p: {q for q in sets if len(sets[p] & sets[q]) >= 0.8 * len(sets[p] | sets[q])} for p in sets}
+    want = set()
+    for p in sets:
+        group, new = {p}, {p}
+        while new:
+            new = set().union(*(near[q] for q in new)) - group
+            group |= new
+        want.add(frozenset(group))
+    want = {g for g in want if len(g) > 1}
+    close = [p for p in sets for q in near[p] if p < q and len(sets[p] & sets[q]) < 0.83 * len(sets[p] | sets[q])]
+    assert len(close) > 50 and {len(g) for g in want} >= {2, 4, 5}
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
+    assert {p for p, r in _reasons(f).items() if "vendored" in r} == set().union(*want)
+
+
 @pytest.mark.parametrize("name", sorted(Q.QUERIES))
 def test_queries_run(spark, name):
     import oracle
